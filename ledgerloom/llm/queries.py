@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import mixing, sharding, token_counts, url_filter
-from ledgerloom.llm.common import table
+from ledgerloom.llm import language_id, mixing, neighbours, quality, sharding, token_counts, url_filter
+from ledgerloom.llm.common import crc_bucket, table
 
 
 def op2_kk_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,12 @@ def op2_kk_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, held = table(spark, sf_dir, "documents"), crc_bucket("doc_id", 4) == 2
+    out = language_id.identify(documents, ~held)
+    return out.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
@@ -28,11 +34,24 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op8_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = crc_bucket("doc_id", 5) == 0
+    out = quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held)
+    return out.select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+def op9_int8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_kk_sharding": op2_kk_sharding,
+    "op3_ppm_language": op3_ppm_language,
     "op5_source_mixing": op5_source_mixing,
     "op6_url_templates": op6_url_templates,
     "op7_token_counts": op7_token_counts,
+    "op8_boosted_quality": op8_boosted_quality,
+    "op9_int8_neighbours": op9_int8_neighbours,
 }
 
 #: Source weights 3, 1, 2; 150 % of all sizes; 2 times a source's size.
@@ -63,4 +82,17 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
 FROM e
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_source_mixing": _OP5}
+_OP9 = """
+WITH v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.e, c.e) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+ORACLE_SQL: dict[str, str] = {"op5_source_mixing": _OP5, "op9_int8_neighbours": _OP9}

@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,8 +13,9 @@ from pyspark.sql.window import Window
 
 from ledgerloom.llm.common import stored
 
-#: Groups that one task differences; parts that it hands on; parts that the driver differences at most.
-BUCKET_GROUPS, PARTS, DRIVER_PARTS = 4096, 48, 1_000_000
+#: Groups that one task differences; parts that it hands on; groups, evenly chosen by size, that it hands on as they are,
+#: so that the driver can even out what the parts leave; parts and groups that the driver differences at most.
+BUCKET_GROUPS, PARTS, SINGLES, DRIVER_PARTS = 4096, 48, 64, 1_000_000
 #: Rows of one window that numbers slots.
 SLOT_ROWS = 20_000
 
@@ -68,7 +70,11 @@ def group_parts(groups: DataFrame, buckets: int, shards: int) -> DataFrame:
 
     def difference(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["_bytes", "_group"], ascending=[False, True], ignore_index=True)
-        return pdf.assign(_part=pd.array(karmarkar_karp(pdf["_bytes"].tolist(), parts), dtype="int32"))
+        single = pdf.index % max(1, len(pdf) // SINGLES) == 0
+        part = np.zeros(len(pdf), np.int32)
+        part[~single] = karmarkar_karp(pdf.loc[~single, "_bytes"].tolist(), parts)
+        part[single] = parts + np.arange(single.sum())
+        return pdf.assign(_part=part)
 
     dealt = groups.withColumn("_bucket", F.pmod(F.xxhash64("_group"), F.lit(buckets)).cast("int"))
     return dealt.groupBy("_bucket").applyInPandas(difference, "_group string, _bytes long, _bucket int, _part int")
@@ -86,8 +92,7 @@ def shard_documents(documents: DataFrame, shards: int = 16, doc_id: str = "doc_i
     rows = stored(documents.select(F.col(doc_id).alias("_id"), F.when(F.col(text).isNull(), F.lit("")).otherwise(F.md5(content.cast("binary"))).alias("_group"), (F.octet_length(content) + F.lit(1)).cast("long").alias("size"), F.crc32(content.cast("binary")).alias("text_crc32")))
     groups = rows.groupBy("_group").agg(F.sum("size").alias("_bytes"), F.count("*").alias("_rows"))
     total = groups.agg(F.count("*").alias("n"), F.sum("_bytes").alias("bytes"), F.sum("_rows").alias("rows")).first()
-    parts = max(PARTS, 2 * shards)
-    buckets = max(1, min(-(-total.n // BUCKET_GROUPS), DRIVER_PARTS // parts))
+    buckets = max(1, min(-(-total.n // BUCKET_GROUPS), DRIVER_PARTS // (max(PARTS, 2 * shards) + 2 * SINGLES)))
     dealt = stored(group_parts(groups.select("_group", "_bytes"), buckets, shards))
     items = dealt.groupBy("_bucket", "_part").agg(F.sum("_bytes").alias("b")).orderBy(F.desc("b"), "_bucket", "_part").collect()
     chosen = karmarkar_karp([x.b for x in items], shards)
