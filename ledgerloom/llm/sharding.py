@@ -13,9 +13,10 @@ from pyspark.sql.window import Window
 
 from ledgerloom.llm.common import stored
 
-#: Groups that one task differences; parts that it hands on; groups, evenly chosen by size, that it hands on as they are,
-#: so that the driver can even out what the parts leave; parts and groups that the driver differences at most.
-BUCKET_GROUPS, PARTS, SINGLES, DRIVER_PARTS = 4096, 48, 64, 1_000_000
+#: Groups that one task differences, for fewer and for more than MANY groups.
+BUCKET_GROUPS, BUCKET_GROUPS_LARGE, MANY = 4096, 65536, 16_000_000
+#: Groups, evenly chosen by size, that all buckets together hand on as they are, and a bucket at most: they even out the rest.
+SINGLES, SINGLES_OF_BUCKET = 16384, 512
 #: Rows of one window that numbers slots.
 SLOT_ROWS = 20_000
 
@@ -64,16 +65,20 @@ def karmarkar_karp(sizes: Iterable[int], k: int) -> list[int]:
     return out
 
 
-def group_parts(groups: DataFrame, buckets: int, shards: int) -> DataFrame:
-    """(_group, _bytes) -> (_group, _bytes, _bucket, _part): differencing within hash buckets of bounded size."""
-    parts = max(PARTS, 2 * shards)
+def group_parts(groups: DataFrame, buckets: int, shards: int, large: int) -> DataFrame:
+    """(_group, _bytes) -> (_group, _bytes, _bucket, _part): differencing within hash buckets of bounded size.
+
+    Groups of more than `large` bytes are parts by themselves, and so are a bucket's evenly chosen singles.
+    """
+    parts = shards * (4 if buckets < 64 else 1)
+    singles = max(2, min(SINGLES_OF_BUCKET, SINGLES // buckets))
 
     def difference(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["_bytes", "_group"], ascending=[False, True], ignore_index=True)
-        single = pdf.index % max(1, len(pdf) // SINGLES) == 0
+        alone = (pdf.index % max(1, len(pdf) // singles) == 0) | (pdf["_bytes"].to_numpy() > large)
         part = np.zeros(len(pdf), np.int32)
-        part[~single] = karmarkar_karp(pdf.loc[~single, "_bytes"].tolist(), parts)
-        part[single] = parts + np.arange(single.sum())
+        part[~alone] = karmarkar_karp(pdf.loc[~alone, "_bytes"].tolist(), parts)
+        part[alone] = parts + np.arange(alone.sum())
         return pdf.assign(_part=part)
 
     dealt = groups.withColumn("_bucket", F.pmod(F.xxhash64("_group"), F.lit(buckets)).cast("int"))
@@ -84,16 +89,16 @@ def shard_documents(documents: DataFrame, shards: int = 16, doc_id: str = "doc_i
     """One row per input row: doc_id, size, text_crc32, shard, slot. Rows of equal text stay in one shard.
 
     Size is the UTF-8 length plus 1; null texts have length 0 and form one group, and a null id is an id like others.
-    Two levels of differencing: buckets of about BUCKET_GROUPS groups are differenced in parallel into more parts than there
-    are shards, and the driver differences those parts, of which it holds at most DRIVER_PARTS. A group that outweighs
-    a shard is a part of its own there. Copies are counted before any shuffle, so a hot group is one row per task.
+    Two levels of differencing: buckets of about BUCKET_GROUPS groups are differenced in parallel into parts, and the driver
+    differences those parts with the groups kept single: some for each bucket, never rows or all groups. Groups of more
+    than an eighth of a shard, of which there are few, are always among those. Copies are counted before any shuffle, so a hot group is one row per task.
     """
     content = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = stored(documents.select(F.col(doc_id).alias("_id"), F.when(F.col(text).isNull(), F.lit("")).otherwise(F.md5(content.cast("binary"))).alias("_group"), (F.octet_length(content) + F.lit(1)).cast("long").alias("size"), F.crc32(content.cast("binary")).alias("text_crc32")))
     groups = rows.groupBy("_group").agg(F.sum("size").alias("_bytes"), F.count("*").alias("_rows"))
     total = groups.agg(F.count("*").alias("n"), F.sum("_bytes").alias("bytes"), F.sum("_rows").alias("rows")).first()
-    buckets = max(1, min(-(-total.n // BUCKET_GROUPS), DRIVER_PARTS // (max(PARTS, 2 * shards) + 2 * SINGLES)))
-    dealt = stored(group_parts(groups.select("_group", "_bytes"), buckets, shards))
+    buckets = max(1, -(-total.n // (BUCKET_GROUPS if total.n < MANY else BUCKET_GROUPS_LARGE)))
+    dealt = stored(group_parts(groups.select("_group", "_bytes"), buckets, shards, (total.bytes or 0) // (8 * shards)))
     items = dealt.groupBy("_bucket", "_part").agg(F.sum("_bytes").alias("b")).orderBy(F.desc("b"), "_bucket", "_part").collect()
     chosen = karmarkar_karp([x.b for x in items], shards)
     spark = documents.sparkSession
