@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import language_id, mixing, neighbours, quality, sharding, token_counts, url_filter
+from ledgerloom.llm import decontamination, language_id, mixing, neighbours, quality, sharding, token_counts, toxicity, url_filter
 from ledgerloom.llm.common import crc_bucket, table
 
 
+def op1_containment_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_kk_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard_documents(table(spark, sf_dir, "documents"), 16)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
@@ -44,7 +48,14 @@ def op9_int8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
 
+def op10_gru_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = crc_bucket("doc_id", 5) == 0
+    out = toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held)
+    return out.select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_containment_leaks": op1_containment_leaks,
     "op2_kk_sharding": op2_kk_sharding,
     "op3_ppm_language": op3_ppm_language,
     "op5_source_mixing": op5_source_mixing,
@@ -52,8 +63,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_token_counts": op7_token_counts,
     "op8_boosted_quality": op8_boosted_quality,
     "op9_int8_neighbours": op9_int8_neighbours,
+    "op10_gru_toxicity": op10_gru_toxicity,
 }
 
+_OP1 = r"""
+WITH b AS (
+  SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
+i AS (SELECT DISTINCT item_id, k, list_aggregate(w[j : j + k - 1], 'string_agg', ' ') AS s
+      FROM (SELECT item_id, w, least(5, len(w)) AS k, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS j FROM b WHERE len(w) > 0)),
+n AS (SELECT item_id, count(*) AS n_item FROM i GROUP BY item_id),
+d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+k AS (SELECT DISTINCT k FROM i),
+s AS (SELECT DISTINCT doc_id, k, list_aggregate(w[j : j + k - 1], 'string_agg', ' ') AS s
+      FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS j FROM d, k WHERE len(w) >= k)),
+h AS (SELECT s.doc_id, i.item_id, count(*) AS n_found FROM s JOIN i ON s.k = i.k AND s.s = i.s GROUP BY ALL)
+SELECT doc_id, item_id, CAST(n_item AS BIGINT) AS n_item, CAST(n_found AS BIGINT) AS n_found, n_found / n_item AS containment
+FROM h JOIN n USING (item_id) WHERE n_found >= 0.75 * n_item
+"""
+
 #: Source weights 3, 1, 2; 150 % of all sizes; 2 times a source's size.
 _OP5 = """
 WITH d AS (
@@ -95,4 +123,4 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_source_mixing": _OP5, "op9_int8_neighbours": _OP9}
+ORACLE_SQL: dict[str, str] = {"op1_containment_leaks": _OP1, "op5_source_mixing": _OP5, "op9_int8_neighbours": _OP9}
