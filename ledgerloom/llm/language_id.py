@@ -14,8 +14,8 @@ from ledgerloom.llm.common import map_texts
 #: Documents that each language is learned from at most, and their largest size in bytes.
 PER_LANGUAGE, LARGEST = 400, 16384
 #: Bytes that contexts reach back; occurrences that make a context a node; bytes of the cost table at most.
-ORDER, NODE_COUNT, TABLE_BYTES = 3, 4, 48 << 20
-_CHUNK = 1 << 20
+ORDER, NODE_COUNT, TABLE_BYTES = 3, 4, 12 << 20
+_CHUNK = 1 << 18
 
 
 def fold(buf: np.ndarray) -> np.ndarray:
@@ -25,6 +25,15 @@ def fold(buf: np.ndarray) -> np.ndarray:
     return np.where(after & (buf >= 0x80) & (buf <= 0x9E), out + 0x20, out).astype(np.uint8)
 
 
+def has_letter(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Whether each text has a letter; only texts without an ASCII letter are decoded."""
+    seen = np.concatenate([[0], np.cumsum(((buf | 32) >= 97) & ((buf | 32) <= 122))])
+    out = seen[offsets[1:]] > seen[offsets[:-1]]
+    for i in np.flatnonzero(~out):
+        out[i] = any(map(str.isalpha, buf[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace")))
+    return out
+
+
 @dataclass
 class Trees:
     """symbols: class of each byte (0: never learned). contexts: three preceding classes -> node, the longest known suffix.
@@ -143,10 +152,10 @@ def identify(documents: DataFrame, learn_from: Column, doc_id: str = "doc_id", t
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         model, texts = shared.value, batch.column("_text")
-        letters = batch.column("_letters").to_numpy(zero_copy_only=False).astype(bool)
+        buf, offsets = flat_bytes(texts)
+        letters = has_letter(buf, offsets)
         named, score = np.full(batch.num_rows, "und", object), np.zeros(batch.num_rows)
         if model is not None and letters.any():
-            buf, offsets = flat_bytes(texts)
             bits = model.lengths(buf, offsets)
             best = bits.argmin(axis=1)
             least = bits[np.arange(len(bits)), best]
@@ -156,8 +165,8 @@ def identify(documents: DataFrame, learn_from: Column, doc_id: str = "doc_id", t
         return pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(named, pa.string()), pa.array(score, pa.float64())], names=["_id", "lang_pred", "score"])
 
     kind = documents.schema[doc_id].dataType.simpleString()
-    rows = documents.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("_letters"), F.col(text).alias("_t"))
-    return map_texts(rows, "_t", ["_id", "_letters"], run, f"_id {kind}, lang_pred string, score double").withColumnRenamed("_id", doc_id)
+    rows = documents.select(F.col(doc_id).alias("_id"), F.col(text).alias("_t"))
+    return map_texts(rows, "_t", ["_id"], run, f"_id {kind}, lang_pred string, score double").withColumnRenamed("_id", doc_id)
 
 
 def flat_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
