@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import decontamination, language_id, mixing, neighbours, quality, sharding, token_counts, toxicity, url_filter
+from ledgerloom.llm import decontamination, language_id, mixing, neighbours, ngram_join, quality, sharding, token_counts, toxicity, url_filter
 from ledgerloom.llm.common import crc_bucket, table
 
 
@@ -26,6 +26,10 @@ def op3_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op4_ngram_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_containment_leaks": op1_containment_leaks,
     "op2_kk_sharding": op2_kk_sharding,
     "op3_ppm_language": op3_ppm_language,
+    "op4_ngram_components": op4_ngram_components,
     "op5_source_mixing": op5_source_mixing,
     "op6_url_templates": op6_url_templates,
     "op7_token_counts": op7_token_counts,
@@ -82,6 +87,20 @@ SELECT doc_id, item_id, CAST(n_item AS BIGINT) AS n_item, CAST(n_found AS BIGINT
 FROM h JOIN n USING (item_id) WHERE n_found >= 0.75 * n_item
 """
 
+_OP4 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, list_aggregate(w[j : j + 4], 'string_agg', ' ') AS s
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS j FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS MATERIALIZED (SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+r AS (SELECT doc_id, doc_id AS m FROM documents UNION SELECT e.b, r.m FROM r JOIN e ON e.a = r.doc_id),
+c AS (SELECT doc_id, min(m) AS component_id FROM r GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
+
 #: Source weights 3, 1, 2; 150 % of all sizes; 2 times a source's size.
 _OP5 = """
 WITH d AS (
@@ -123,4 +142,4 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_containment_leaks": _OP1, "op5_source_mixing": _OP5, "op9_int8_neighbours": _OP9}
+ORACLE_SQL: dict[str, str] = {"op1_containment_leaks": _OP1, "op4_ngram_components": _OP4, "op5_source_mixing": _OP5, "op9_int8_neighbours": _OP9}

@@ -91,5 +91,6 @@ def windows(word: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np
     out = full[begin] + _U(n)
     at = np.cumsum(runs) - runs
     for t in np.flatnonzero((count > 0) & (count < n)):
-        out[at[t]] = sum((word[first[t] + i] * factors[i] for i in range(count[t])), _U(int(count[t])))
+        mine = word[first[t] : first[t + 1]]
+        out[at[t]] = (mine * np.array(factors[: len(mine)], _U)).sum(dtype=_U) + np.full(1, count[t], _U)[0]
     return _mix(out), runs
