@@ -54,7 +54,8 @@ def op9_int8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_gru_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = crc_bucket("doc_id", 5) == 0
-    out = toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held)
+    documents = table(spark, sf_dir, "documents")
+    out = toxicity.apply(documents, toxicity.train(documents, table(spark, sf_dir, "labels"), ~held))
     return out.select("doc_id", held.alias("held_out"), "score", "predicted")
 
 

@@ -303,20 +303,23 @@ def training_sample(documents: DataFrame, labels: DataFrame, learn_from: Column,
     return [(int(r[1] > 0), bytes(r[2])) for r in sorted(got, key=lambda r: (r[0], r[1], r[2]))]
 
 
-def score_toxicity(documents: DataFrame, labels: DataFrame, learn_from: Column, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", threshold: float = 0.5, carry: tuple[str, ...] = ()) -> DataFrame:
-    """`carry` columns (doc_id if none), score, predicted for every row: the worst of all overlapping windows of the whole text decides.
+def train(documents: DataFrame, labels: DataFrame, learn_from: Column, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
+    """A model from the label rows that `learn_from` chooses and the documents of their ids."""
+    return learn(training_sample(documents, labels, learn_from, doc_id, text, label))
 
-    `learn_from` chooses the label rows that may be learned from. Null texts count as empty; texts without words get the lowest
-    score; with labels of one kind only, or none, all scores are alike. Repeated rows get the same score.
+
+def apply(documents: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",), text: str = "text", threshold: float = 0.5) -> DataFrame:
+    """`carry` columns, score, predicted for every row: the worst of all overlapping windows of the whole text decides.
+
+    Null texts count as empty; texts without words get the lowest score; a model of one kind of label gives all rows one score.
+    Repeated rows get the same score.
     """
-    spark = documents.sparkSession
-    shared = spark.sparkContext.broadcast(learn(training_sample(documents, labels, learn_from, doc_id, text, label)))
+    shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         score = shared.value.score(*flat_bytes(batch.column("_text")))
         return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32), pa.int32())], names=[*batch.schema.names[:-1], "_score", "_predicted"])
 
-    carry = carry or (doc_id,)
     kinds = ", ".join(f"_k{i} {documents.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
     rows = documents.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(carry)], F.col(text).alias("_t"))
     out = map_texts(rows, "_t", [f"_k{i}" for i in range(len(carry))], run, f"{kinds}, _score double, _predicted int")
