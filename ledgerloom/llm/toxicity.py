@@ -15,7 +15,7 @@ from ledgerloom.llm.quality import labelled_ids
 from ledgerloom.llm.text_hash import ALNUM, hashes, spans
 
 #: Labelled documents that are learned from at most, and the largest in bytes.
-TRAIN_ROWS, LARGEST = 8_000, 32_768
+TRAIN_ROWS, LARGEST = 4_000, 8_192
 #: Words of a window, and words from one window to the next: each word but the first few is scored in two windows.
 WINDOW, STEP = 16, 8
 #: Units of each direction, of the attention, of a character n-gram's embedding; hash buckets of character trigrams.
@@ -57,11 +57,12 @@ def read_words(buf: np.ndarray, offsets: np.ndarray) -> Words:
     begin = np.concatenate([[0], np.cumsum(size - 2)])
     place = np.repeat(a - begin[:-1], size - 2) + np.arange(begin[-1])
     whose = np.repeat(np.arange(len(at)), size - 2)
-    here = buf[place].astype(np.int64)
-    before = np.where(place > a[whose], buf[np.maximum(place - 1, 0)], 0).astype(np.int64)
-    after = np.where(place < b[whose] - 1, buf[np.minimum(place + 1, max(len(buf) - 1, 0))], 0).astype(np.int64)
-    grams = ((before * 257 + here) * 257 + after) * 0x9E3779B1 % (1 << 32) * BUCKETS >> 32
-    return Words(first, back[index.reshape(-1)], table, grams, begin)
+    mark = np.zeros(1, np.uint8)
+    padded = np.concatenate([mark, buf, mark])  # so place + 1 is the byte itself
+    before = np.where(place > a[whose], padded[place], 0).astype(np.uint32)
+    after = np.where(place < b[whose] - 1, padded[place + 2], 0).astype(np.uint32)
+    grams = ((before * np.uint32(257) + padded[place + 1]) * np.uint32(257) + after) * np.uint32(0x9E3779B1) >> np.uint32(32 - BUCKETS.bit_length() + 1)
+    return Words(first, back[index.reshape(-1)].astype(np.int32), table, grams.astype(np.int32), begin)
 
 
 def window_starts(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -211,12 +212,14 @@ def learn(samples: list[tuple[int, bytes]], rounds: int = 3, steps: int = 300) -
     base = float(y.mean())
     # how many toxic and clean texts have each word and prefix
     of_word = np.unique(doc * len(words.keys) + words.index)
-    d, w = of_word // len(words.keys), of_word % len(words.keys)
     keys, place = np.unique(words.keys, return_inverse=True)
-    place = place.reshape(words.keys.shape)
-    pairs = np.unique(np.concatenate([d * len(keys) + place[w, j] for j in range(place.shape[1])]))
-    toxic = np.bincount(pairs % len(keys), y[pairs // len(keys)], len(keys))
-    clean = np.bincount(pairs % len(keys), 1 - y[pairs // len(keys)], len(keys))
+    place = place.reshape(words.keys.shape).astype(np.int32)
+    toxic, clean = np.zeros(len(keys)), np.zeros(len(keys))
+    for j in range(place.shape[1]):  # hashes of words and of each length of prefix differ
+        pairs = np.unique(of_word // len(words.keys) * len(keys) + place[of_word % len(words.keys), j])
+        toxic += np.bincount(pairs % len(keys), y[pairs // len(keys)], len(keys))
+        clean += np.bincount(pairs % len(keys), 1 - y[pairs // len(keys)], len(keys))
+    del of_word, doc, pairs
     odds = lambda a, b: (np.log((a + _PRIOR * base) / (b + _PRIOR * (1 - base))) - np.log(base / (1 - base))).astype(np.float32) / 3
     kept = (toxic + clean >= 3) & (keys != 0)
     network = Network()
@@ -232,7 +235,7 @@ def learn(samples: list[tuple[int, bytes]], rounds: int = 3, steps: int = 300) -
         return np.where(known[k], seen, np.float32(0))
 
     rough = np.zeros(len(starts), np.float32)
-    cut = 1 << 14
+    cut = 1 << 12
     for lo in range(0, len(starts), cut):
         at = starts[lo : lo + cut, None] + np.arange(WINDOW)
         inside = at < words.first[text[lo : lo + cut] + 1][:, None]
