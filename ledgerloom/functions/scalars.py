@@ -139,12 +139,12 @@ def slug(c: Column) -> Column:
 
 
 def remaining_percent(used: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.lit(100.0) - used))
+    return F.when(used.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.lit(100.0) - used)))
 
 
 def whole_percent(remaining: Column) -> Column:
     """What history keeps: rounded, then clamped."""
-    return F.greatest(F.lit(0), F.least(F.lit(100), F.round(remaining).cast("int")))
+    return F.when(remaining.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(100), F.round(remaining).cast("int"))))
 
 
 def window_kind(seconds: Column) -> Column:
