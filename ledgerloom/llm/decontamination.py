@@ -31,6 +31,11 @@ def runs(w: Column, n: int) -> Column:
     return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(n)]))).otherwise(F.array().cast("array<bigint>"))
 
 
+def short_runs(w: Column, n: int) -> Column:
+    """Hashes of all runs of n words, told apart from the runs of SHINGLE words."""
+    return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(F.lit("short"), F.lit(n), F.slice(w, i + 1, F.lit(n))))).otherwise(F.array().cast("array<bigint>"))
+
+
 def item_shingles(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
     """(_item, _length, _h, _n, _sketch): distinct shingles of each item, how many it has, and which are its MinHash values.
 
@@ -53,8 +58,7 @@ def document_shingles(documents: DataFrame, lengths: list[int]) -> DataFrame:
     found = runs(F.col("_w"), SHINGLE)
     for n in lengths:
         if n < SHINGLE:
-            whole = F.when(F.size("_w") >= n, F.transform(F.sequence(F.lit(0), F.size("_w") - n), lambda i, n=n: F.xxhash64(F.lit("short"), F.lit(n), F.slice(F.col("_w"), i + 1, F.lit(n))))).otherwise(F.array().cast("array<bigint>"))
-            found = F.concat(found, whole)
+            found = F.concat(found, short_runs(F.col("_w"), n))
     return w.select("_doc", F.explode(found).alias("_h"))
 
 

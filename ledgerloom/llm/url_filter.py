@@ -79,7 +79,7 @@ def template_verdicts(rows: DataFrame, params: TreeParams) -> DataFrame:
 
     Sibling templates (same host, all but the last literal segment equal) whose bad share lies within z standard
     errors of the siblings' pooled share are merged and judged by the pooled counts; the others keep their own.
-    Purity is smoothed towards the host's, which is smoothed towards a base share.
+    Templates without labelled rows, merged ones included, are allowed. Purity is smoothed towards the host's, which is smoothed towards a base share.
     """
     counts = rows.groupBy("_host", "_template").agg(F.count("_label").alias("_k"), F.coalesce(F.sum("_label"), F.lit(0)).alias("_bad"))
     parent = F.regexp_replace("_template", r"[^/*]+(/\**)*$", "?$1")
@@ -89,11 +89,11 @@ def template_verdicts(rows: DataFrame, params: TreeParams) -> DataFrame:
     joined = counts.join(family, ["_host", "_parent"]).join(host, "_host")
     pooled = F.when(F.col("_fk") > 0, F.col("_fb") / F.col("_fk")).otherwise(F.lit(0.0))
     error = F.sqrt(pooled * (1 - pooled) / F.greatest(F.col("_k"), F.lit(1)))
-    alike = (F.col("_k") == 0) | (F.abs(F.col("_bad") / F.greatest(F.col("_k"), F.lit(1)) - pooled) <= params.z * error)
+    alike = (F.col("_k") > 0) & (F.abs(F.col("_bad") / F.greatest(F.col("_k"), F.lit(1)) - pooled) <= params.z * error)
     bad, known = F.when(alike, F.col("_fb")).otherwise(F.col("_bad")), F.when(alike, F.col("_fk")).otherwise(F.col("_k"))
     of_host = (F.col("_hb") + params.prior * params.base) / (F.col("_hk") + params.prior)
     purity = (bad + params.prior * of_host) / (known + params.prior)
-    return joined.select("_host", "_template", F.when(purity >= params.reject, "block").otherwise("allow").alias("_verdict"), purity.alias("_purity"))
+    return joined.select("_host", "_template", F.when((known > 0) & (purity >= params.reject), "block").otherwise("allow").alias("_verdict"), purity.alias("_purity"))
 
 
 def filter_urls(pages: DataFrame, url: str = "url", keep: list[str] | None = None, rules: list[tuple[str, str, str]] | None = None, params: TreeParams | None = None) -> DataFrame:
