@@ -208,16 +208,27 @@ def compact_tokens(c: Column, chinese: bool = False) -> Column:
 
 
 def cost_text(nanos: Column, priced: Column) -> Column:
-    """Null when nothing is priced; a marker under one cent."""
-    return F.when(priced <= 0, F.lit(None)).when((nanos > 0) & (nanos < NANOS // 100), "<$0.01").otherwise(F.concat(F.lit("$"), F.format_number(nanos / NANOS, 2)))
+    """Full dollars and cents; null when nothing is priced; a marker for what is under one cent but not nothing."""
+    return F.when(priced <= 0, F.lit(None)).when((nanos > 0) & (nanos < NANOS // 100), "<$0.01").otherwise(F.concat(F.lit("$"), F.format_number(F.greatest(nanos, F.lit(0)) / NANOS, 2)))
+
+
+def compact_cost_text(nanos: Column) -> Column:
+    """Whole dollars; `$0` for nothing, `<$1` below one."""
+    return F.when(nanos <= 0, "$0").when(nanos < NANOS, "<$1").otherwise(F.concat(F.lit("$"), F.format_number(nanos / NANOS, 0)))
 
 
 def duration_text(seconds: Column) -> Column:
-    """The two largest units of days, hours and minutes."""
-    m = F.floor(seconds / 60)
-    d, h, r = F.floor(m / 1440), F.floor(m % 1440 / 60), m % 60
-    s = lambda x: x.cast("string")
-    return F.when(d > 0, F.concat(s(d), F.lit("d"), s(h), F.lit("h"))).when(h > 0, F.concat(s(h), F.lit("h"), s(r), F.lit("m"))).otherwise(F.concat(s(r), F.lit("m")))
+    """The two largest units of days, hours and minutes, without a second one that is zero; `<1m` below a minute."""
+    m = F.floor(F.greatest(seconds, F.lit(0)) / 60)
+    h, d = F.floor(m / 60), F.floor(m / 1440)
+    s = lambda x, unit: F.concat(x.cast("string"), F.lit(unit))
+    rest = lambda x, unit: F.when(x > 0, s(x, unit)).otherwise("")
+    return F.when(m < 1, "<1m").when(h < 1, s(m, "m")).when(d < 1, F.concat(s(h, "h"), rest(m % 60, "m"))).otherwise(F.concat(s(d, "d"), rest(h % 24, "h")))
+
+
+def age_text(seconds: Column) -> Column:
+    """Seconds within the first minute; null within the first second, which readers are told in words."""
+    return F.when(seconds < 1, F.lit(None)).when(seconds < 60, F.concat(F.floor(seconds).cast("string"), F.lit("s"))).otherwise(duration_text(seconds))
 
 
 def rounded_minutes_text(first: Column, last: Column) -> Column:
@@ -247,9 +258,20 @@ def service_indicator(c: Column) -> Column:
     return F.when(s.isin("none", "minor", "major", "critical", "maintenance"), s).otherwise("unknown")
 
 
-def provider_severity(lifecycle: Column, data: Column, problem: Column) -> Column:
-    """One number for the three state dimensions: 50 error, 40 stale, 30 limited, 20 loading, 10 fine."""
-    return F.when(problem.isin("error", "offline", "unauthorized"), 50).when(data == "stale", 40).when(problem == "rate_limited", 30).when(lifecycle == "loading", 20).otherwise(10)
+def provider_severity(availability: Column, freshness: Column, refreshing: Column, error_kind: Column) -> Column:
+    """50 no or bad credentials or unsupported, 40 a failure without a snapshot, 30 one with a snapshot or a stale one,
+    20 loading or refreshing, 10 live."""
+    shown = freshness != "empty"
+    failed = availability.isin("offline", "rate_limited", "error")
+    return (
+        F.when(availability.isin("no_credentials", "unsupported"), 50).when((availability == "error") & error_kind.eqNullSafe("credentials"), 50)
+        .when(failed & shown, 30).when(failed, 40).when(refreshing | ~shown, 20).when(freshness == "stale", 30).otherwise(10)
+    )
+
+
+def tray_visible(availability: Column) -> Column:
+    """Whether the short text shows a value: a rate limit keeps the last one."""
+    return ~availability.isin("no_credentials", "unsupported", "offline", "error")
 
 
 def plan_label(c: Column) -> Column:

@@ -62,8 +62,13 @@ def presented(rows: DataFrame) -> DataFrame:
     })
 
 
+def wire_names(rows: DataFrame) -> DataFrame:
+    """Columns in camel case, as readers of JSON expect them."""
+    return rows.toDF(*[w[0] + "".join(p.title() for p in w[1:]) for w in (c.split("_") for c in rows.columns)])
+
+
 def cache_rates() -> dict[str, Column]:
-    """The three rates in use, of input (exact and rounded) and of all tokens (rounded), in percent and at most 100."""
+    """The three rates in use, of input (exact and rounded) and of all tokens (rounded), in percent and at most 100; null of nothing."""
     given = sum((F.col(c) for c in TOKENS[1:4]), F.col(TOKENS[0]))
-    share = lambda of: F.when(of > 0, F.least(F.lit(100.0), F.col("cache_read_input_tokens") * 100.0 / of)).otherwise(0.0)
+    share = lambda of: F.when(of > 0, F.least(F.lit(100.0), F.col("cache_read_input_tokens") * 100.0 / of))
     return {"cache_rate_of_input": share(given), "cache_rate_of_input_rounded": F.round(share(given)).cast("int"), "cache_rate_of_total_rounded": F.round(share(given + F.col("output_tokens"))).cast("int")}

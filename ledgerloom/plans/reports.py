@@ -191,12 +191,20 @@ def period_change(entries: DataFrame, now: Range, before: Range, sources: list[s
 
 
 def shares(rows: DataFrame, value: str = "total") -> DataFrame:
-    """Each row's part of the whole, in percent. Rows are groups of a summary, few enough for one window."""
+    """Each row's part of the whole, in percent; null of nothing. Rows are groups of a summary, few enough for one window."""
     whole = F.sum(value).over(Window.partitionBy())
-    return rows.withColumn("share_percent", F.when(whole > 0, F.col(value) * 100.0 / whole).otherwise(0.0))
+    return rows.withColumn("share_percent", F.when(whole > 0, F.least(F.lit(100.0), F.col(value) * 100.0 / whole)))
 
 
 def model_table(rows: DataFrame, sort: str = "total", descending: bool = True) -> DataFrame:
     """Summary rows by a column; what is not priced sorts as -1 by cost."""
     key = F.when(F.col("priced") > 0, F.col("cost_nanos")).otherwise(F.lit(-1)) if sort == "cost" else F.col(sort)
     return rows.orderBy(key.desc() if descending else key.asc(), "group_key")
+
+
+def day_totals(entries: DataFrame, r: Range, sources: list[str] | None = None) -> DataFrame:
+    """Per day what a tooltip shows: tokens, cost and the rounded cache rate."""
+    from ledgerloom.operators.metrics import cache_rates
+
+    rows = in_sources(Filter(r.start, r.end).apply(entries), sources).groupBy(F.col("day_local").alias("day")).agg(*measures())
+    return rows.select("day", total_tokens().alias("total_tokens"), "cost_nanos", "priced", cache_rates()["cache_rate_of_input_rounded"].alias("cache_rate")).orderBy("day")

@@ -5,18 +5,25 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 
 #: Fixed values, in seconds: waits after repeated failures and after rate limits, each with its cap; scan and price intervals.
-FAILURE_LADDER, FAILURE_CAP = (60, 120, 300), 900
-LIMIT_LADDER, LIMIT_CAP = (30, 60, 120), 300
+LIMIT_LADDER, LIMIT_CAP = (60, 120, 300), 900
+FAILURE_LADDER, FAILURE_CAP = (30, 60, 120), 300
 SCAN_INTERVAL, HTTP_TIMEOUT = 300, 15
 
 
 def backoff(failures: int, limited: bool = False, retry_after: int | None = None) -> int:
-    """Seconds to wait after so many failures; the server's own wait wins up to the cap."""
+    """Seconds to wait after so many failures; the server's own wait after a rate limit wins, up to the cap."""
     ladder, cap = (LIMIT_LADDER, LIMIT_CAP) if limited else (FAILURE_LADDER, FAILURE_CAP)
     if failures <= 0:
         return 0
-    wait = ladder[min(failures, len(ladder)) - 1]
-    return min(cap, wait if retry_after is None else max(wait, retry_after))
+    if limited and retry_after is not None and retry_after > 0:
+        return min(cap, retry_after)
+    return min(cap, ladder[min(failures, len(ladder)) - 1])
+
+
+def jittered(base: int, salt: int, ratio: float = 0.1) -> int:
+    """An interval moved by up to the ratio either way, the same for the same salt."""
+    spread = int(base * ratio)
+    return base if spread == 0 else max(1, base + salt % (2 * spread + 1) - spread)
 
 
 def retry_after_seconds(header: str | None) -> int | None:
@@ -34,13 +41,13 @@ class RefreshState:
     snapshot: dict | None = None
 
 
-def decide(state: RefreshState, now: float, throttle: float = 5.0) -> str:
-    """merge into the running refresh, block while waiting, throttle right after a success, or begin."""
+def decide(state: RefreshState, now: float, manual: bool = True, throttle: float = 60.0) -> str:
+    """merge into the running refresh, block while waiting (manual or not), throttle a manual one that comes too soon, or begin."""
     if state.running:
         return "merge"
     if now < state.blocked_until:
         return "block"
-    if state.last_success is not None and now - state.last_success < throttle:
+    if manual and state.last_success is not None and now - state.last_success < throttle:
         return "throttle"
     return "begin"
 

@@ -17,7 +17,7 @@ def test_scalars(spark):
         (S.usd_text_to_nanos(L("0.000000001")), 1), (S.usd_text_to_nanos(L("-1")), None), (S.usd_text_to_nanos(L("1.0000000001")), None), (S.scaled_decimal(L("1.5e-6"), 15), 1_500_000_000), (S.scaled_decimal(L("0.0000000005"), 9), 1), (S.nanos_to_text(L(2_500_000_000)), "2.5"),
         (S.nanos_to_text(L(0)), "0"), (S.nanos_to_text(L(33_621_607_500)), "33.6216075"), (S.audit_model_key(L("openai/GPT@x")), "gpt"), (S.model_matches(L("m-2026-02-30"), L("m")), False), (S.model_matches(L("m-20260228"), L("m")), True), (S.like_escape(L("50%_\\")), "50\\%\\_\\\\"),
         (S.duration_text(L(90_000)), "1d1h"), (S.speed_badge(L(5), L(5)), "fast"), (S.speed_badge(L(1), L(5)), "mixed"), (S.speed_badge(L(0), L(5)), None), (S.quota_tone(L(19)), "low"), (S.compact_tokens(L(12_345), True), "1.23万"), (S.http_class(L(429)), "rate_limited"), (S.apple_day(L(0.0)), "2001-01-01"),
-        (S.window_kind(L(18_000)), "five_hour"), (S.cost_text(L(5), L(1)), "<$0.01"), (S.percent_text(L(0.4)), "<1%"), (S.whole_percent(S.remaining_percent(L(140.0))), 0), (S.rfc3339(L("2026-01-01")).isNull(), True),
+        (S.window_kind(L(18_000)), "five_hour"), (S.cost_text(L(5), L(1)), "<$0.01"), (S.duration_text(L(59)), "<1m"), (S.duration_text(L(7200)), "2h"), (S.compact_cost_text(L(10**9 - 1)), "<$1"), (S.age_text(L(5.5)), "5s"), (S.provider_severity(L("error"), L("empty"), L(False), L("credentials")), 50), (S.provider_severity(L("offline"), L("fresh"), L(False), L(None)), 30), (S.provider_severity(L("ready"), L("fresh"), L(False), L(None)), 10), (S.percent_text(L(0.4)), "<1%"), (S.whole_percent(S.remaining_percent(L(140.0))), 0), (S.rfc3339(L("2026-01-01")).isNull(), True),
     ]
     row = spark.range(1).select(*[c.alias(f"c{i}") for i, (c, _) in enumerate(cases)]).first()
     assert [(i, row[i]) for i in range(len(cases))] == [(i, want) for i, (_, want) in enumerate(cases)]
@@ -74,10 +74,10 @@ def test_claude_quota_windows(spark):
 
 
 def test_scheduling():
-    assert [scheduling.backoff(n) for n in (0, 1, 2, 3, 9)] == [0, 60, 120, 300, 300]
-    assert scheduling.backoff(1, True, 1000) == 300 and scheduling.retry_after_seconds("7") == 7 and scheduling.retry_after_seconds("soon") is None
+    assert [scheduling.backoff(n) for n in (0, 1, 2, 3, 9)] == [0, 30, 60, 120, 120] and scheduling.jittered(300, 7) == scheduling.jittered(300, 7)
+    assert scheduling.backoff(1, True, 1000) == 900 and scheduling.backoff(2, True) == 120 and scheduling.retry_after_seconds("7") == 7 and scheduling.retry_after_seconds("soon") is None
     s = scheduling.apply(scheduling.begin(scheduling.RefreshState()), 100.0, "ok", {"a": 1}, "me")
-    assert scheduling.decide(s, 101.0) == "throttle" and scheduling.decide(s, 200.0) == "begin"
+    assert scheduling.decide(s, 101.0) == "throttle" and scheduling.decide(s, 101.0, manual=False) == "begin" and scheduling.decide(s, 200.0) == "begin"
     s = scheduling.apply(s, 200.0, "error")
     assert s.snapshot == {"a": 1} and scheduling.decide(s, 210.0) == "block"
     assert scheduling.apply(s, 300.0, "error", identity="you").snapshot is None and scheduling.is_stale(s, 1000.0, 300)
