@@ -130,6 +130,36 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
 FROM e
 """
 
+#: The rules net/, example.net/en/, example.com/de/, org/fr/; the tree's parameters are TreeParams().
+_OP6 = r"""
+WITH p AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+r AS (
+  SELECT *, CASE WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+                 WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+                 WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+                 WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM p),
+s AS (
+  SELECT *, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 1 WHEN rule IS NOT NULL THEN 0 END AS label,
+         list_transform(string_split(regexp_replace(path, '^/|/$', '', 'g'), '/'), lambda x: CASE WHEN regexp_matches(x, '@VARIABLE@') THEN '*' ELSE x END) AS seg FROM r),
+n AS (SELECT host, seg, count(*) AS n FROM s GROUP BY host, seg),
+x AS (SELECT host, seg, n, i, seg[i + 1] AS child, array_to_string(seg[1 : i], '/') AS prefix FROM (SELECT *, unnest(range(len(seg))) AS i FROM n)),
+c AS (SELECT host, i, prefix, child, sum(n) AS n FROM x WHERE child <> '*' GROUP BY host, i, prefix, child),
+v AS (SELECT host, i, prefix FROM c GROUP BY host, i, prefix HAVING count(*) >= 24 AND sum(n) < 8.0 * count(*)),
+t AS (SELECT x.host, x.seg, '/' || string_agg(CASE WHEN v.host IS NULL THEN x.child ELSE '*' END, '/' ORDER BY x.i) AS template
+      FROM x LEFT JOIN v ON x.host = v.host AND x.i = v.i AND x.prefix = v.prefix GROUP BY x.host, x.seg),
+u AS (SELECT s.*, t.template FROM s JOIN t ON s.host = t.host AND s.seg = t.seg),
+k AS (SELECT host, template, regexp_replace(template, '[^/*]+(/\**)*$', '?\1') AS parent, count(label) AS k, CAST(coalesce(sum(label), 0) AS BIGINT) AS bad FROM u GROUP BY host, template),
+f AS (SELECT *, sum(k) OVER (PARTITION BY host, parent) AS fk, sum(bad) OVER (PARTITION BY host, parent) AS fb, sum(k) OVER (PARTITION BY host) AS hk, sum(bad) OVER (PARTITION BY host) AS hb FROM k),
+g AS (SELECT *, CASE WHEN fk > 0 THEN CAST(fb AS DOUBLE) / fk ELSE 0.0 END AS pooled FROM f),
+a AS (SELECT *, k > 0 AND abs(CAST(bad AS DOUBLE) / greatest(k, 1) - pooled) <= 2.0 * sqrt(pooled * (1 - pooled) / greatest(k, 1)) AS alike FROM g),
+j AS (SELECT host, template, CASE WHEN (CASE WHEN alike THEN fk ELSE k END) > 0
+        AND ((CASE WHEN alike THEN fb ELSE bad END) + 4.0 * ((hb + 4.0 * 0.1) / (hk + 4.0))) / ((CASE WHEN alike THEN fk ELSE k END) + 4.0) >= 0.8 THEN 'block' ELSE 'allow' END AS judged FROM a)
+SELECT u.page_id, u.host, u.path, u.rule, CASE WHEN u.label = 1 THEN 'block' WHEN u.label = 0 THEN 'allow' ELSE j.judged END AS verdict
+FROM u JOIN j ON u.host = j.host AND u.template = j.template
+""".replace("@VARIABLE@", url_filter.VARIABLE)
+
 _OP9 = """
 WITH v AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
@@ -143,4 +173,4 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_containment_leaks": _OP1, "op4_ngram_components": _OP4, "op5_source_mixing": _OP5, "op9_int8_neighbours": _OP9}
+ORACLE_SQL: dict[str, str] = {"op1_containment_leaks": _OP1, "op4_ngram_components": _OP4, "op5_source_mixing": _OP5, "op6_url_templates": _OP6, "op9_int8_neighbours": _OP9}
