@@ -56,7 +56,7 @@ def _cost(e: Column) -> Column:
     return F.when(~(long & ~e["long_priced"]), F.try_add(scaled, _exact(F.lit(_DIVISOR // 2))).cast("decimal(38,0)"))
 
 
-def _multiplier(model: Column, source: Column, catalog_multipliers: DataFrame | None) -> Column:
+def _multiplier(model: Column, source: Column) -> Column:
     out = F.lit(None).cast("long")
     for s, table in FAST_MULTIPLIERS.items():
         pairs = F.create_map(*[F.lit(x) for k, v in table.items() for x in (k, v)])
@@ -68,11 +68,9 @@ def derived_multipliers(catalog: DataFrame, as_of) -> DataFrame:
     """(_model, _derived): models of one source whose fast prices are one exact multiple of the standard ones at the time `as_of`."""
     at = F.lit(as_of).cast("timestamp")
     current = ranked(catalog.where(F.col("source") == "claude"))
-    models = catalog.where(F.col("source") == "claude").select(F.col("model_prefix").alias("_model")).distinct()
-    pick = lambda speed, name: current.where(F.col("_speed") == speed).select(F.col("_entries"))
-    std = models.join(F.broadcast(pick("standard", "s"))).select("_model", matching_entry(F.col("_model"), at).alias("s"))
-    fast = models.join(F.broadcast(pick("fast", "f"))).select("_model", matching_entry(F.col("_model"), at).alias("f"))
-    pair = std.join(fast, "_model").where("s IS NOT NULL AND f IS NOT NULL")
+    models = catalog.where(F.col("source") == "claude").select(F.col("source").alias("_source"), F.col("model_prefix").alias("_model")).distinct()
+    entry = lambda speed: F.max(F.when(F.col("_speed") == speed, matching_entry(F.col("_model"), at)))  # noqa: E731  one row a speed
+    pair = models.join(F.broadcast(current), "_source").groupBy("_model").agg(entry("standard").alias("s"), entry("fast").alias("f")).where("s IS NOT NULL AND f IS NOT NULL")
     checked = ("uncached_rate", "output_rate", "cache_read_rate", "cache_write_5m_rate")
     ratios, ok = [], F.lit(True)
     for r in checked:
@@ -96,7 +94,7 @@ def price(facts: DataFrame, catalog: DataFrame, fingerprint: str | None = None,
     rows = rows.withColumn("_entry", F.when(~limited, matching_entry(F.col("_model"), F.col("occurred_at"))))
     rows = rows.withColumn("_raw", _cost(F.col("_entry")))
     cost = F.when(F.col("_raw") < F.lit(str(2**63 * _DIVISOR)).cast("decimal(38,0)"), F.expr(f"CAST(_raw div {_DIVISOR} AS BIGINT)"))
-    fixed = _multiplier(F.col("_model"), F.col("source"), None)
+    fixed = _multiplier(F.col("_model"), F.col("source"))
     if derived is not None:
         rows = rows.join(F.broadcast(derived.withColumnRenamed("_model", "_of")), (F.col("source") == "claude") & (F.col("_model") == F.col("_of")), "left")
         fixed = F.coalesce(fixed, F.col("_derived"))
