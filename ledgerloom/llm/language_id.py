@@ -131,13 +131,12 @@ def learn(samples: list[tuple[str, bytes]]) -> Trees | None:
 
 def training_sample(documents: DataFrame, learn_from: Column, doc_id: str, text: str, lang: str) -> list[tuple[str, bytes]]:
     """About PER_LANGUAGE hash-chosen documents of each language among those that may be learned from."""
-    size = F.octet_length(F.col(text))
-    pool = documents.where(learn_from & F.col(lang).isNotNull() & size.between(1, LARGEST))
-    counts = {r[0]: r[1] for r in pool.groupBy(lang).count().collect()}
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, PER_LANGUAGE / n))]) if counts else None
-    if share is None:
+    pool = documents.where(learn_from & F.col(lang).isNotNull())
+    counts = {r[0]: r[1] for r in pool.groupBy(lang).count().collect()}  # reads no text
+    if not counts:
         return []
-    chosen = pool.where(F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(1 << 20)) < share[F.col(lang)] * (1 << 20))
+    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, PER_LANGUAGE / n))])
+    chosen = pool.where((F.pmod(F.xxhash64(F.col(doc_id)), F.lit(1 << 20)) < share[F.col(lang)] * (1 << 20)) & F.octet_length(text).between(1, LARGEST))
     return sorted((r[0], bytes(r[1])) for r in chosen.select(lang, F.col(text).cast("binary")).collect())
 
 
