@@ -93,5 +93,5 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id
 def remove_leaks(documents: DataFrame, benchmark: DataFrame, **names: str) -> DataFrame:
     """The documents in no pair of find_leaks, with all their columns."""
     doc_id = names.get("doc_id", "doc_id")
-    bad = find_leaks(documents, benchmark, **names).select(F.col(doc_id).alias("_bad")).distinct()
-    return documents.join(bad, F.col(doc_id).eqNullSafe(F.col("_bad")), "left_anti")
+    bad = stored(find_leaks(documents, benchmark, **names).select(F.col(doc_id).alias("_bad")).distinct())
+    return documents.join(_bounded(bad, bad.count()), F.col(doc_id).eqNullSafe(F.col("_bad")), "left_anti")

@@ -226,6 +226,13 @@ def test_jaccard_components(spark, docs, empty, monkeypatch):
     assert ngram_join.jaccard_components(empty).count() == 0
 
 
+def test_one_id_for_all_rows(spark):
+    texts = list(near_copies(40, 8))
+    for i in (None, 3):
+        d = spark.createDataFrame([(i, t) for t in texts + texts[:5]], "doc_id long, text string")
+        assert {(r.doc_id, r.component_id) for r in ngram_join.jaccard_components(d).collect()} == {(i, i)}
+
+
 def test_links_across_two_lists():
     a, b = np.arange(10, dtype=np.uint64), np.arange(1, 11, dtype=np.uint64)
     assert ngram_join.links([a, b]) == [(0, 1)] and ngram_join.links([a], [b]) == [(0, 1)] and ngram_join.links([a]) == [] and ngram_join.links([], [a, b]) == []
