@@ -16,26 +16,51 @@ def total_tokens() -> Column:
     return sum((F.col(c) for c in TOKENS[1:5]), F.col(TOKENS[0]))
 
 
-def measures() -> list[Column]:
-    """Aggregates over facts, all decomposable, so they combine before the shuffle; the single fingerprint is min = max."""
-    fast, cost, print_ = F.col("speed") == "fast", F.col("api_equivalent_cost_nanos"), F.col("pricing_fingerprint")
+def _partial() -> list[Column]:
+    """Aggregates over facts, all of fixed width, so they are hashed and combined before the shuffle."""
+    fast, cost = F.col("speed") == "fast", F.col("api_equivalent_cost_nanos")
     add = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
     return [
         F.count("*").alias("entries"),
         *[add(F.col(c)).alias(c) for c in TOKENS],
         add(F.when(fast, total_tokens())).alias("fast_raw_tokens"),
         add(F.when(fast, F.col("billing_equivalent_tokens_nanos"))).alias("fast_billing_nanos"),
-        F.min(F.when(fast, F.col("fast_multiplier_nanos"))).alias("fast_multiplier_min"),
-        F.max(F.when(fast, F.col("fast_multiplier_nanos"))).alias("fast_multiplier_max"),
         add(F.when(fast & F.col("billing_equivalent_tokens_nanos").isNull(), 1)).alias("unpriced_fast"),
         add(cost).alias("cost_nanos"),
         F.count(cost).alias("priced"),
         add(F.when(cost.isNull(), 1)).alias("unpriced"),
         add(F.when((F.col("source") == "claude") & (F.col("inference_geo") == "unknown") & cost.isNotNull(), 1)).alias("assumed_geo"),
+        F.min(F.when(fast, F.col("fast_multiplier_nanos"))).alias("fast_multiplier_min"),
+        F.max(F.when(fast, F.col("fast_multiplier_nanos"))).alias("fast_multiplier_max"),
+    ]
+
+
+def _final() -> list[Column]:
+    """The same over partial rows of one fingerprint each; a group's fingerprint is that of all its priced rows, or null."""
+    print_ = F.col("pricing_fingerprint")
+    return [
+        *[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in SUMS],
+        F.min("fast_multiplier_min").alias("fast_multiplier_min"),
+        F.max("fast_multiplier_max").alias("fast_multiplier_max"),
         F.when(F.min(print_) == F.max(print_), F.max(print_)).alias("pricing_fingerprint"),
     ]
 
 
+def measured(facts: DataFrame, **keys: Column) -> DataFrame:
+    """One row per group of the named keys with all measures.
+
+    Facts are first grouped with the fingerprint as a key: text among the aggregates would make Spark sort all facts.
+    """
+    first = facts.groupBy(*[c.alias(n) for n, c in keys.items()], "pricing_fingerprint").agg(*_partial())
+    return first.groupBy(*keys).agg(*_final())
+
+
+def measured_sets(facts: DataFrame, sets: list[list[str]], **keys: Column) -> tuple[DataFrame, list[Column]]:
+    """(grouping sets over rows that are already grouped by all keys, the aggregates to apply)."""
+    first = facts.groupBy(*[c.alias(n) for n, c in keys.items()], "pricing_fingerprint").agg(*_partial())
+    return first.groupingSets(sets, *keys), _final()
+
+
 def grand_total(groups: DataFrame) -> DataFrame:
     """Totals of summary rows; the fingerprint is null if any priced group lacks one or they differ."""
     lacking = F.sum(F.when((F.col("priced") > 0) & F.col("pricing_fingerprint").isNull(), 1))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerloom.functions import scalars as S
-from ledgerloom.operators.metrics import MEASURES, grand_total, measures, total_tokens
+from ledgerloom.operators.metrics import MEASURES, cache_rates, grand_total, measured, measured_sets, total_tokens
 from ledgerloom.plans.calendar import Range
 
 #: Default and largest page, longest search, most sources, longest key.
@@ -79,21 +79,21 @@ def in_sources(rows: DataFrame, sources: list[str] | None, column: str = "source
 def summary(entries: DataFrame, by: str, where: Filter | None = None) -> DataFrame:
     """One row per group with all measures, in key order."""
     rows = (where or Filter()).apply(entries)
-    return rows.groupBy(group_expression(by).alias("group_key")).agg(*measures()).orderBy("group_key")
+    return measured(rows, group_key=group_expression(by)).orderBy("group_key")
 
 
 def summary_totals(entries: DataFrame, by: str, where: Filter | None = None) -> DataFrame:
     """The grand total over the groups, with the two-level rule for the fingerprint."""
     rows = (where or Filter()).apply(entries)
-    return grand_total(rows.groupBy(group_expression(by).alias("group_key")).agg(*measures()))
+    return grand_total(measured(rows, group_key=group_expression(by)))
 
 
 def dashboard(entries: DataFrame, r: Range, sources: list[str] | None = None) -> DataFrame:
     """Summaries by source, by source and day, and by source and model of a range, in one pass of grouping sets."""
-    rows = in_sources(Filter(r.start, r.end).apply(entries), sources).withColumn("_model", F.coalesce("model", F.lit("")))
-    sets = rows.groupingSets([["source"], ["source", "day_local"], ["source", "_model"]], "source", "day_local", "_model")
-    level = F.when(F.grouping("day_local") == 0, "day").when(F.grouping("_model") == 0, "model").otherwise("source")
-    return sets.agg(level.alias("level"), *measures()).select("level", "source", F.col("day_local").alias("day"), F.col("_model").alias("model"), *MEASURES)
+    rows = in_sources(Filter(r.start, r.end).apply(entries), sources)
+    sets, totals = measured_sets(rows, [["source"], ["source", "day"], ["source", "_model"]], source=F.col("source"), day=F.col("day_local"), _model=group_expression("model"))
+    level = F.when(F.grouping("day") == 0, "day").when(F.grouping("_model") == 0, "model").otherwise("source")
+    return sets.agg(level.alias("level"), *totals).select("level", "source", "day", F.col("_model").alias("model"), *MEASURES)
 
 
 @dataclass(frozen=True)
@@ -138,7 +138,7 @@ def conversation_models(entries: DataFrame) -> DataFrame:
 def conversation_page(entries: DataFrame, conversations: DataFrame, query: ConversationQuery | None = None) -> DataFrame:
     """A page of conversations: measures over the filtered facts; title, times and models over all. Only the page is joined to these."""
     q = (query or ConversationQuery()).checked()
-    found = _matching(entries, conversations, q).groupBy("conversation_key").agg(*measures())
+    found = measured(_matching(entries, conversations, q), conversation_key=F.col("conversation_key"))
     found = found.join(conversations.select("conversation_key", "last_at"), "conversation_key")
     key = {"recent": F.col("last_at"), "tokens": total_tokens(), "cost": F.col("cost_nanos")}[q.sort]
     page = found.orderBy(key.desc(), "conversation_key").offset(q.offset).limit(q.limit).drop("last_at")
@@ -159,16 +159,16 @@ def conversation(entries: DataFrame, conversations: DataFrame, key: str) -> Data
     if not 1 <= len(key.encode()) <= MAX_KEY:
         raise ValueError("bad conversation key")
     facts = entries.where(F.col("conversation_key") == key)
-    return facts.groupBy("conversation_key").agg(*measures()).join(conversations.where(F.col("conversation_key") == key), "conversation_key").join(conversation_models(facts), "conversation_key", "left")
+    return measured(facts, conversation_key=F.col("conversation_key")).join(conversations.where(F.col("conversation_key") == key), "conversation_key").join(conversation_models(facts), "conversation_key", "left")
 
 
 def conversation_breakdown(entries: DataFrame, key: str) -> DataFrame:
     """Measures of a conversation by model and by speed."""
     if not 1 <= len(key.encode()) <= MAX_KEY:
         raise ValueError("bad conversation key")
-    facts = entries.where(F.col("conversation_key") == key).withColumn("_model", F.coalesce("model", F.lit("")))
-    sets = facts.groupingSets([["_model"], ["speed"]], "_model", "speed")
-    return sets.agg(F.when(F.grouping("_model") == 0, "model").otherwise("speed").alias("level"), F.coalesce(F.col("_model"), F.col("speed")).alias("group_key"), *measures()).select("level", "group_key", *MEASURES)
+    facts = entries.where(F.col("conversation_key") == key)
+    sets, totals = measured_sets(facts, [["_model"], ["_speed"]], _model=group_expression("model"), _speed=F.col("speed"))
+    return sets.agg(F.when(F.grouping("_model") == 0, "model").otherwise("speed").alias("level"), F.coalesce("_model", "_speed").alias("group_key"), *totals).select("level", "group_key", *MEASURES)
 
 
 def daily_series(entries: DataFrame, first_day: str, last_day: str, sources: list[str]) -> DataFrame:
@@ -204,7 +204,5 @@ def model_table(rows: DataFrame, sort: str = "total", descending: bool = True) -
 
 def day_totals(entries: DataFrame, r: Range, sources: list[str] | None = None) -> DataFrame:
     """Per day what a tooltip shows: tokens, cost and the rounded cache rate."""
-    from ledgerloom.operators.metrics import cache_rates
-
-    rows = in_sources(Filter(r.start, r.end).apply(entries), sources).groupBy(F.col("day_local").alias("day")).agg(*measures())
+    rows = measured(in_sources(Filter(r.start, r.end).apply(entries), sources), day=F.col("day_local"))
     return rows.select("day", total_tokens().alias("total_tokens"), "cost_nanos", "priced", cache_rates()["cache_rate_of_input_rounded"].alias("cache_rate")).orderBy("day")

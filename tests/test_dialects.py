@@ -5,7 +5,7 @@ import json
 import pytest
 
 from ledgerloom.operators import dialects, ledger, pricing
-from ledgerloom.operators.metrics import measures
+from ledgerloom.operators.metrics import measured
 from ledgerloom.plans import reports
 from ledgerloom.schema import ENTRIES
 from ledgerloom.sources import catalog, lines
@@ -91,7 +91,7 @@ def test_pi_lines(parsed):
 def test_summary_of_all_dialects(spark, parsed):
     facts = ledger.deduplicate(ledger.union_entries(*[dialects.entries(p) for p in parsed.values()]))
     priced = pricing.price(facts, catalog.bundled(spark), "f1")
-    t = priced.where("source != 'pi'").agg(*measures()).first()
+    t = measured(priced.where("source != 'pi'")).first()
     assert (t.entries, t.uncached_input_tokens, t.fast_raw_tokens, t.fast_billing_nanos, t.priced) == (3, 120, 100, 250_000_000_000, 3)
     costs = {(r.source, r.speed): r.api_equivalent_cost_nanos for r in priced.collect()}
     assert costs["codex", "standard"] == 50 * 5_000 + 40 * 500 + 30 * 30_000
