@@ -319,8 +319,8 @@ def seen_set(spark: SparkSession, sf: str) -> DataFrame:
 @register(f"WITH {_PRICED} SELECT source, dedup_key, model_prefix, priority, strftime(effective_from, '%Y-%m-%d') AS effective_from FROM f WHERE source <> 'pi'")
 def price_lookup_temporal(spark: SparkSession, sf: str) -> DataFrame:
     rows = unpriced(spark, sf).where("source != 'pi'").withColumn("_model", S.price_model(F.col("source"), F.col("model")))
-    rows = rows.join(F.broadcast(pricing.ranked(T.catalog(spark))), (F.col("source") == F.col("_source")) & (F.col("speed") == F.col("_speed")), "left")
-    e = pricing.matching_entry(F.col("_model"), F.col("occurred_at"))
+    e = pricing.matching_entry(F.col("occurred_at"))
+    rows = pricing.with_entries(rows, T.catalog(spark))
     return rows.select("source", "dedup_key", e["model_prefix"].alias("model_prefix"), e["priority"].alias("priority"), F.date_format(e["effective_from"], "yyyy-MM-dd").alias("effective_from"))
 
 

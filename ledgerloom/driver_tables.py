@@ -34,10 +34,10 @@ def catalog_rows() -> list[tuple]:
 
 
 def catalog(spark: SparkSession) -> DataFrame:
-    from datetime import UTC, datetime
+    from ledgerloom.sources.catalog import local_rows
 
-    day = lambda t: None if t is None else datetime.fromisoformat(t).replace(tzinfo=UTC)
-    return spark.createDataFrame([(*r[:3], day(r[3]), day(r[4]), *r[5:]) for r in catalog_rows()], CATALOG)
+    iso = lambda t: t and t.replace(" ", "T") + "Z"
+    return local_rows(spark, [(*r[:3], iso(r[3]), iso(r[4]), *r[5:]) for r in catalog_rows()], CATALOG)
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:

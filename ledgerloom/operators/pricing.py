@@ -22,15 +22,35 @@ MAX_CATALOG_ROWS = 100_000
 
 
 def ranked(catalog: DataFrame) -> DataFrame:
-    """One row per source and speed with its catalog rows in order of precedence; small by MAX_CATALOG_ROWS, so it is broadcast."""
+    """One row per source, speed and model prefix with its catalog rows in order of precedence; at most MAX_CATALOG_ROWS rows, so broadcast."""
     entry = F.struct("priority", (-F.length("model_prefix")).alias("_shorter"), "model_prefix", "effective_from", "effective_until", *RATES, "us_bps", "long_threshold", "long_input_bps", "long_output_bps", "long_priced")
-    return catalog.groupBy(F.col("source").alias("_source"), F.col("speed").alias("_speed")).agg(F.sort_array(F.collect_list(entry)).alias("_entries"))
+    return catalog.groupBy(F.col("source").alias("_source"), F.col("speed").alias("_speed"), F.col("model_prefix").alias("_prefix")).agg(F.sort_array(F.collect_list(entry)).alias("_entries"))
 
 
-def matching_entry(model: Column, at: Column) -> Column:
-    """The first entry of `_entries` for the model at the time, or null."""
-    fits = lambda e: S.model_matches(model, e["model_prefix"]) & F.coalesce(e["effective_from"] <= at, F.lit(True)) & F.coalesce(at < e["effective_until"], F.lit(True))
-    return F.get(F.filter("_entries", fits), F.lit(0))
+def undated(model: Column) -> Column:
+    """The model without a calendar date at its end; null where there is none."""
+    base = F.regexp_replace(model, r"-(?:\d{4}-\d{2}-\d{2}|\d{8})$", "")
+    return F.when((base != model) & S.model_matches(model, base), base)
+
+
+def with_entries(rows: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Adds `_entries`, in order of precedence, of the catalog rows whose prefix is `_model`, or is it without a date.
+
+    Both are hash joins with the broadcast catalog, so a row costs the same however long the catalog is.
+    """
+    known = F.broadcast(ranked(catalog))
+    rows = rows.withColumn("_base", undated(F.col("_model")))
+    for key, name in (("_model", "_exact"), ("_base", "_dated")):
+        named = known.select(*[F.col(c).alias(f"{name}{c}") for c in known.columns])
+        rows = rows.join(named, (F.col("source") == F.col(f"{name}_source")) & (F.col("speed") == F.col(f"{name}_speed")) & (F.col(key) == F.col(f"{name}_prefix")), "left").drop(f"{name}_source", f"{name}_speed", f"{name}_prefix")
+    both = F.when(F.col("_dated_entries").isNull(), F.col("_exact_entries")).when(F.col("_exact_entries").isNull(), F.col("_dated_entries")).otherwise(F.sort_array(F.concat("_exact_entries", "_dated_entries")))
+    return rows.withColumn("_entries", both).drop("_base", "_exact_entries", "_dated_entries")
+
+
+def matching_entry(at: Column) -> Column:
+    """The first of `_entries` that holds at the time, or null."""
+    holds = lambda e: F.coalesce(e["effective_from"] <= at, F.lit(True)) & F.coalesce(at < e["effective_until"], F.lit(True))
+    return F.get(F.filter("_entries", holds), F.lit(0))
 
 
 def input_tokens() -> Column:
@@ -67,10 +87,9 @@ def _multiplier(model: Column, source: Column) -> Column:
 def derived_multipliers(catalog: DataFrame, as_of) -> DataFrame:
     """(_model, _derived): models of one source whose fast prices are one exact multiple of the standard ones at the time `as_of`."""
     at = F.lit(as_of).cast("timestamp")
-    current = ranked(catalog.where(F.col("source") == "claude"))
-    models = catalog.where(F.col("source") == "claude").select(F.col("source").alias("_source"), F.col("model_prefix").alias("_model")).distinct()
-    entry = lambda speed: F.max(F.when(F.col("_speed") == speed, matching_entry(F.col("_model"), at)))  # noqa: E731  one row a speed
-    pair = models.join(F.broadcast(current), "_source").groupBy("_model").agg(entry("standard").alias("s"), entry("fast").alias("f")).where("s IS NOT NULL AND f IS NOT NULL")
+    current = ranked(catalog.where(F.col("source") == "claude")).withColumn("_entry", matching_entry(at))
+    entry = lambda speed: F.max(F.when(F.col("_speed") == speed, F.col("_entry")))  # noqa: E731  one row a speed
+    pair = current.groupBy(F.col("_prefix").alias("_model")).agg(entry("standard").alias("s"), entry("fast").alias("f")).where("s IS NOT NULL AND f IS NOT NULL")
     checked = ("uncached_rate", "output_rate", "cache_read_rate", "cache_write_5m_rate")
     ratios, ok = [], F.lit(True)
     for r in checked:
@@ -89,9 +108,9 @@ def price(facts: DataFrame, catalog: DataFrame, fingerprint: str | None = None,
     had = {c: (F.col(c) if c in facts.columns else F.lit(None)) for c in PRICE_COLUMNS}
     own = ~F.col("source").isin(*CATALOG_SOURCES)
     key = S.price_model(F.col("source"), F.col("model"))
-    rows = facts.withColumn("_model", key).join(F.broadcast(ranked(catalog)), (F.col("source") == F.col("_source")) & (F.col("speed") == F.col("_speed")), "left")
+    rows = with_entries(facts.withColumn("_model", key), catalog)
     limited = (F.col("source") == "codex") & (F.col("speed") == "fast") & (input_tokens() > FAST_INPUT_LIMIT)
-    rows = rows.withColumn("_entry", F.when(~limited, matching_entry(F.col("_model"), F.col("occurred_at"))))
+    rows = rows.withColumn("_entry", F.when(~limited, matching_entry(F.col("occurred_at"))))
     rows = rows.withColumn("_raw", _cost(F.col("_entry")))
     cost = F.when(F.col("_raw") < F.lit(str(2**63 * _DIVISOR)).cast("decimal(38,0)"), F.expr(f"CAST(_raw div {_DIVISOR} AS BIGINT)"))
     fixed = _multiplier(F.col("_model"), F.col("source"))
@@ -133,9 +152,7 @@ def price_keys(facts: DataFrame, only_unpriced: bool = True) -> DataFrame:
 def missing_keys(keys: DataFrame, catalog: DataFrame, attempts: DataFrame | None = None, now=None, cooldown_seconds: int = 1_800) -> DataFrame:
     """Keys that no catalog row covers and that were not asked for within the cooldown; made-up models never count."""
     named = keys.where(~F.col("model").startswith("<") & ~F.col("model").contains("synthetic"))
-    covered = named.join(F.broadcast(ranked(catalog)), (F.col("source") == F.col("_source")) & (F.col("speed") == F.col("_speed")), "left")
-    known = F.exists("_entries", lambda e: S.model_matches(F.col("model"), e["model_prefix"]))
-    out = covered.where(~F.coalesce(known, F.lit(False))).select("source", "model", "speed")
+    out = with_entries(named.withColumn("_model", F.col("model")), catalog).where("_entries IS NULL").select("source", "model", "speed")
     if attempts is None:
         return out
     recent = attempts.where(F.col("attempted_at") > F.lit(now).cast("timestamp") - F.make_interval(secs=F.lit(cooldown_seconds)))

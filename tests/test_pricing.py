@@ -73,3 +73,12 @@ def test_reprice_counts_changes(spark):
 def test_refresh_rules():
     assert catalog.accepts_refresh(19, 0) and not catalog.accepts_refresh(20, 9) and catalog.accepts_refresh(20, 10)
     assert catalog.refresh_due(10**6, None, None) and not catalog.refresh_due(10**6, 10**6 - 100, None) and catalog.refresh_due(10**6, 10**6 - 5000, 10**6 - 2000)
+
+
+def test_dated_models_and_precedence(spark):
+    rates = catalog.bundled(spark).where("model_prefix = 'gpt-5.4'")
+    dated = rates.withColumn("model_prefix", pricing.F.lit("gpt-5.4-2026-01-02")).withColumn("uncached_rate", pricing.F.lit(7_000_000_000).cast("long"))
+    both = rates.unionByName(dated)
+    one = ("standard", "global", (1,))
+    # a date before a date is not cut from the name, and matches both the longer prefix and the shorter one
+    assert costs(spark, ("codex", "gpt-5.4-2026-01-02-20260101", *one), ("codex", "gpt-5.4-2026-02-30-20260101", *one), ("codex", "gpt-5.4", *one), rates=both) == [7_000, None, 2_500]
