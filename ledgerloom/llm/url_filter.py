@@ -7,6 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.common import stored
+
+#: Rows up to which a table by host or template is broadcast; a larger one is joined over SALTS copies, as a host can have a third of all rows.
+BROADCAST_ROWS, SALTS = 200_000, 16
 #: (host, path, verdict): the rule fits the host and its subdomains when the path starts with the rule's path.
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 #: Segments that vary by nature: numbers, hex strings, dates and the like, with any file suffix.
@@ -47,6 +51,15 @@ def rule_columns(host: Column, path: Column, rules: list[tuple[str, str, str]])
     return rule, verdict
 
 
+def attach(rows: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join with a table of one row for each key, without bringing a key's rows together."""
+    small = stored(small)
+    if small.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(small), keys, "left")
+    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(F.struct(*rows.columns)), F.lit(SALTS)).cast("int")).join(salted, [*keys, "_salt"], "left").drop("_salt")
+
+
 def path_templates(urls: DataFrame, params: TreeParams) -> DataFrame:
     """Adds ``_template`` to rows with ``_host, _path``: segments that vary become ``*``.
 
@@ -71,7 +84,7 @@ def path_templates(urls: DataFrame, params: TreeParams) -> DataFrame:
         "_seg",
         lambda x, i: F.when(F.array_contains(F.coalesce("_variable", F.array().cast("array<string>")), F.concat_ws("\u0001", i.cast("string"), F.array_join(F.slice("_seg", F.lit(1), i), "/"))), F.lit("*")).otherwise(x),
     )
-    return formed.join(variable, "_host", "left").withColumn("_template", F.concat(F.lit("/"), F.array_join(starred, "/"))).drop("_seg", "_variable")
+    return attach(formed, variable, ["_host"]).withColumn("_template", F.concat(F.lit("/"), F.array_join(starred, "/"))).drop("_seg", "_variable")
 
 
 def template_verdicts(rows: DataFrame, params: TreeParams) -> DataFrame:
@@ -110,7 +123,7 @@ def filter_urls(pages: DataFrame, url: str = "url", keep: list[str] | None = Non
     rows = rows.withColumns({"_rule": rule, "_ruled": verdict})
     rows = path_templates(rows, params)
     judged = template_verdicts(rows.withColumn("_label", F.when(F.col("_ruled") == "block", 1).when(F.col("_ruled") == "allow", 0)), params)
-    out = rows.join(judged, ["_host", "_template"], "left")
+    out = attach(rows, judged, ["_host", "_template"])
     return out.select(
         *[F.col(f"_keep{i}").alias(c) for i, c in enumerate(keep)], F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_template").alias("template"), F.col("_purity").alias("purity"), F.col("_rule").alias("rule"),
         F.coalesce("_ruled", "_verdict", F.lit("allow")).alias("verdict"),

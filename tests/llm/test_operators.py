@@ -287,7 +287,9 @@ def test_url_rules_and_templates(spark):
     assert url_filter.filter_urls(d.limit(0)).count() == 0
 
 
-def test_url_tree_learns_templates(spark):
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_url_tree_learns_templates(spark, monkeypatch, most):
+    monkeypatch.setattr(url_filter, "BROADCAST_ROWS", most)
     rows = [(i, f"http://shop.biz/item/{w}-{i}x/view") for i, w in enumerate(WORDS[:40])] + [(100 + i, f"http://shop.biz/spam/{i}") for i in range(30)] + [(200 + i, f"http://shop.biz/spam/{900 + i}.html") for i in range(5)]
     d = spark.createDataFrame(rows, "page_id long, url string")
     rules = [("shop.biz", f"/spam/{i}", "block") for i in range(3)]
