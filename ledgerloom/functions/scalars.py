@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NANOS = 1_000_000_000
@@ -13,9 +13,13 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, _UPPER, _LOWER)
 
 
+#: The white space that trimming knows.
+_WHITE = " \t\n\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
     """Trim every kind of white space at both ends."""
-    return F.regexp_replace(c, r"^[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+|[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+$", "")
+    return F.btrim(c, F.lit(_WHITE))
 
 
 def optional_text(c: Column) -> Column:
@@ -113,6 +117,17 @@ def price_model(source: Column, model: Column) -> Column:
     return F.when(source == "claude", F.translate(key, ".", "-")).otherwise(key)
 
 
+def with_price_model(rows: DataFrame, name: str) -> DataFrame:
+    """Adds price_model of `source` and `model` under a name, step by step: each pattern is only tried on names that can match it."""
+    c = F.col(name)
+    rows = rows.withColumn(name, ascii_lower(strip(F.col("model"))))
+    rows = rows.withColumn(name, F.when(F.contains(c, F.lit("/")), F.regexp_replace(c, "^(?:openai/|anthropic/|deepseek/)", "")).otherwise(c))
+    rows = rows.withColumn(name, F.when(F.contains(c, F.lit("@")), F.regexp_replace(c, r"^([^@]*)@[0-9]{8}$", "$1")).otherwise(c))
+    rows = rows.withColumn(name, F.when(F.substring(c, -11, 1) == "-", F.regexp_replace(c, r"-[0-9]{4}-[0-9]{2}-[0-9]{2}$", "")).otherwise(c))
+    rows = rows.withColumn(name, F.when(F.substring(c, -9, 1) == "-", F.regexp_replace(c, r"-[0-9]{8}$", "")).otherwise(c))
+    return rows.withColumn(name, F.when((F.col("source") == "claude") & F.contains(c, F.lit(".")), F.translate(c, ".", "-")).otherwise(c))
+
+
 def audit_model_key(c: Column) -> Column:
     """The audit's own rule: no anthropic/ prefix is known, and everything from `@` on is cut."""
     v = F.regexp_replace(F.lower(F.trim(c)), "^openai/", "")

@@ -30,7 +30,8 @@ def ranked(catalog: DataFrame) -> DataFrame:
 def undated(model: Column) -> Column:
     """The model without a calendar date at its end; null where there is none."""
     base = F.regexp_replace(model, r"-(?:\d{4}-\d{2}-\d{2}|\d{8})$", "")
-    return F.when((base != model) & S.model_matches(model, base), base)
+    may_be = (F.substring(model, -9, 1) == "-") | (F.substring(model, -11, 1) == "-")
+    return F.when(may_be & (base != model) & S.model_matches(model, base), base)
 
 
 def with_entries(rows: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -61,8 +62,23 @@ def _exact(c: Column) -> Column:
     return c.cast("decimal(38,0)")
 
 
-def _cost(e: Column) -> Column:
-    """Whole nanos, half up, before range checks; null on overflow."""
+def _small_cost(e: Column) -> tuple[Column, Column]:
+    """(whether it holds, whole nanos): requests without multipliers whose products and sum stay within 63 bits."""
+    counts, rates = [F.col(t) for t in TOKENS[:5]], [e[r] for r in RATES]
+    plain = ~F.coalesce(input_tokens() > e["long_threshold"], F.lit(False)) & ((F.col("inference_geo") != "us") | (e["us_bps"] == 10_000))
+    small = plain & (F.greatest(*counts) < 2**22) & (F.greatest(*rates) < 2**38)
+    total = sum((c * r for c, r in zip(counts[1:], rates[1:], strict=True)), counts[0] * rates[0])
+    return F.coalesce(small, F.lit(False)), F.call_function("div", total + 500_000, F.lit(1_000_000))
+
+
+def _exact_cost(e: Column) -> Column:
+    """Whole nanos, half up, in wide decimals; null where a request has no price or the number is out of range."""
+    raw = _scaled(e)
+    return F.when(raw < F.lit(str(2**63 * _DIVISOR)).cast("decimal(38,0)"), F.call_function("div", raw, _exact(F.lit(_DIVISOR))).cast("long"))
+
+
+def _scaled(e: Column) -> Column:
+    """The price times the divisor, and half of it; null on overflow."""
     into = None
     for t, r in zip(TOKENS[:4], RATES[:4], strict=True):
         part = F.try_multiply(F.col(t).cast("decimal(19,0)"), e[r].cast("decimal(19,0)")).cast("decimal(38,0)")
@@ -107,12 +123,13 @@ def price(facts: DataFrame, catalog: DataFrame, fingerprint: str | None = None,
     """
     had = {c: (F.col(c) if c in facts.columns else F.lit(None)) for c in PRICE_COLUMNS}
     own = ~F.col("source").isin(*CATALOG_SOURCES)
-    key = S.price_model(F.col("source"), F.col("model"))
-    rows = with_entries(facts.withColumn("_model", key), catalog)
+    rows = with_entries(S.with_price_model(facts, "_model"), catalog)
     limited = (F.col("source") == "codex") & (F.col("speed") == "fast") & (input_tokens() > FAST_INPUT_LIMIT)
     rows = rows.withColumn("_entry", F.when(~limited, matching_entry(F.col("occurred_at"))))
-    rows = rows.withColumn("_raw", _cost(F.col("_entry")))
-    cost = F.when(F.col("_raw") < F.lit(str(2**63 * _DIVISOR)).cast("decimal(38,0)"), F.expr(f"CAST(_raw div {_DIVISOR} AS BIGINT)"))
+    # the wide arithmetic is rarely needed; as a lambda it stays out of the generated code, which then is small enough to be compiled
+    small, plain = _small_cost(F.col("_entry"))
+    rows = rows.withColumn("_cost", F.when(F.col("_entry").isNull(), F.lit(None).cast("long")).when(small, plain).otherwise(F.get(F.transform(F.array("_entry"), _exact_cost), F.lit(0))))
+    cost = F.col("_cost")
     fixed = _multiplier(F.col("_model"), F.col("source"))
     if derived is not None:
         rows = rows.join(F.broadcast(derived.withColumnRenamed("_model", "_of")), (F.col("source") == "claude") & (F.col("_model") == F.col("_of")), "left")
