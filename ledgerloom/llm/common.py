@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -33,6 +35,13 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release_memory() -> None:
+    """Give back what a Python worker no longer uses: it idles between tasks beside the JVM and the next task's worker."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Bound what a Python worker holds: Arrow batches are counted in rows, and texts can be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
@@ -46,6 +55,7 @@ def map_texts(df: DataFrame, text: str, keep: list[str], function: Callable[[pa.
         for batch in batches:
             if batch.num_rows:
                 yield function(batch)
+        release_memory()
 
     return df.select(*keep, F.col(text).cast("binary").alias("_text")).mapInArrow(run, schema)
 
