@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: Words are maximal runs of anything but ASCII white space; bytes.split() cuts at the same places.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows in one Arrow batch: texts are a few KB, so a batch is a few MB.
-BATCH_ROWS = 512
+BATCH_ROWS = 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

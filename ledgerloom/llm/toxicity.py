@@ -23,7 +23,7 @@ HIDDEN, ATTEND, CHARS, BUCKETS = 8, 8, 6, 2048
 #: Leading bytes of a word whose evidence is an input beside that of the whole word.
 PREFIXES = (4, 5, 6, 7, 8)
 _INPUTS = 1 + len(PREFIXES) + CHARS
-_ROWS = 4096
+_ROWS = 2048
 _PRIOR = 4.0
 
 
