@@ -57,8 +57,15 @@ def cosines(a: Block, i: np.ndarray, b: Block, j: np.ndarray) -> np.ndarray:
 
 
 def search_tile(queries: Block, found: list[list[tuple[float, int]]], candidates: Block, k: int) -> None:
-    """Offer a candidate tile to the heaps of the queries; a pair is scored only if its upper bound can reach the k best."""
+    """Offer a candidate tile to the heaps of the queries; a pair is scored only if its upper bound can reach the k best.
+
+    Ids are counted, not rows: a heap has one entry an id, its best so far, and of a tile's lower bounds the largest of each id counts.
+    """
     right = candidates.tile()
+    order = np.argsort(candidates.ids, kind="stable")
+    first = np.flatnonzero(np.diff(candidates.ids[order], prepend=candidates.ids[order[0]] - 1))
+    group = np.empty(len(order), np.int64)
+    group[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
     for at in range(0, len(queries.ids), TILE_QUERIES):
         part = slice(at, at + TILE_QUERIES)
         left = queries.codes[part].astype(right.dtype)
@@ -67,16 +74,25 @@ def search_tile(queries: Block, found: list[list[tuple[float, int]]], candidates
         own = queries.ids[part, None] == candidates.ids[None, :]
         low = np.where(own, -np.inf, near - slack)
         reach = np.array([h[0][0] if len(h) == k else -np.inf for h in found[part]])
-        if low.shape[1] >= k:
-            reach = np.maximum(reach, np.partition(low, low.shape[1] - k, axis=1)[:, -k] - 1e-9)
-        i, j = np.nonzero((near + slack >= reach[:, None]) & ~own)
+        repeated = len(first) < len(order)
+        best = np.maximum.reduceat(low[:, order], first, axis=1) if repeated else low
+        if len(first) >= k:
+            reach = np.maximum(reach, np.partition(best, len(first) - k, axis=1)[:, -k] - 1e-9)
+        least = np.maximum(reach[:, None], best[:, group] - 1e-9) if repeated else reach[:, None]
+        i, j = np.nonzero((near + slack >= least) & ~own)
         scores = cosines(queries, i + at, candidates, j)
         for q, score, other in zip((i + at).tolist(), scores.tolist(), candidates.ids[j].tolist(), strict=True):
             heap, item = found[q], (score, -other)
-            if len(heap) < k:
-                if item not in heap:
-                    heapq.heappush(heap, item)
-            elif item > heap[0] and item not in heap:
+            if len(heap) == k and item <= heap[0]:
+                continue
+            at_id = next((x for x, h in enumerate(heap) if h[1] == -other), None)
+            if at_id is not None:
+                if item > heap[at_id]:
+                    heap[at_id] = item
+                    heapq.heapify(heap)
+            elif len(heap) < k:
+                heapq.heappush(heap, item)
+            else:
                 heapq.heapreplace(heap, item)
 
 
@@ -86,7 +102,11 @@ def _blocks(ids: pa.Array, vectors: pa.Array) -> Iterator[Block]:
     starts = np.concatenate([[0], np.cumsum(lengths)])[:-1]
     for n in np.unique(lengths):
         rows = np.flatnonzero(lengths == n)
-        yield Block(ids[rows], flat[starts[rows, None] + np.arange(n)[None, :]])
+        own, values = ids[rows], flat[starts[rows, None] + np.arange(n)[None, :]]
+        if len(np.unique(own)) < len(own):  # equal rows of one id offer nothing more
+            keep = np.sort(np.unique(np.column_stack([own.astype(np.int64)[:, None].view(np.float64), values]).view(np.int64), axis=0, return_index=True)[1])
+            own, values = own[keep], values[keep]
+        yield Block(own, values)
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:

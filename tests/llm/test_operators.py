@@ -421,6 +421,22 @@ def test_neighbours(spark):
     assert neighbours.nearest(d.limit(0), F.lit(True), 5).count() == 0
 
 
+def test_repeated_ids_take_one_place_each(spark):
+    r = np.random.default_rng(9)
+    v = [(i, [float(x) for x in r.normal(size=6)]) for i in range(60)]
+    v = [x for x in v for _ in range(3)]  # equal copies
+    v += [(i, [float(x) for x in np.array(v[0][1]) + e * r.normal(size=6)]) for i in (71, 72) for e in (0.01, 0.02, 0.03, 0.04, 0.05, 0.06)]  # one id, differing vectors
+    d = spark.createDataFrame(v, "vec_id long, embedding array<double>")
+    unit = [(i, np.array(x) / np.linalg.norm(x)) for i, x in v]
+    score = defaultdict(lambda: -2.0)
+    for i, x in unit[1:]:
+        score[i] = max(score[i], float(unit[0][1] @ x))
+    best = sorted((-s, i) for i, s in score.items() if i)[:5]
+    for n in (1, 3):
+        got = neighbours.nearest(d.repartition(n), F.col("vec_id") == 0, 5).orderBy("rank").collect()
+        assert [x.vec_id for x in got] == [i for _, i in best] and [x.score for x in got] == pytest.approx([-s for s, _ in best])
+
+
 def test_few_candidates_are_all_found(spark):
     d = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<double>")
     assert [(r.query_id, r.rank, r.vec_id) for r in neighbours.nearest(d, F.col("vec_id") == 0, 5).collect()] == [(0, 1, 1)]
