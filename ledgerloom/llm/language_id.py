@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ledgerloom.llm.common import map_texts
+from ledgerloom.llm.common import map_texts, small_batches
 
-#: Documents that each language is learned from at most, and their largest size in bytes.
-PER_LANGUAGE, LARGEST = 400, 16384
+#: Documents that each language is learned from at most, and the bytes after which no further one is taken.
+PER_LANGUAGE, LANGUAGE_BYTES = 400, 400 * 16384
 #: Bytes that contexts reach back; occurrences that make a context a node; bytes of the cost table at most.
 ORDER, NODE_COUNT, TABLE_BYTES = 3, 4, 12 << 20
 _CHUNK = 1 << 18
@@ -87,11 +89,11 @@ def learn(samples: list[tuple[str, bytes]]) -> Trees | None:
     prev: list[list[np.ndarray]] = [[] for _ in range(ORDER)]
     cur, who = [], []
     for (name, _), text in zip(samples, texts, strict=True):
-        line = np.concatenate([np.zeros(ORDER, np.int64), symbols[text].astype(np.int64)])
+        line = np.concatenate([np.zeros(ORDER, np.int32), symbols[text].astype(np.int32)])  # width**ORDER fits
         for i in range(ORDER):
             prev[i].append(line[ORDER - 1 - i : len(line) - 1 - i])
         cur.append(line[ORDER:])
-        who.append(np.full(len(text), languages.index(name)))
+        who.append(np.full(len(text), languages.index(name), np.int32))
     back, now, whose = [np.concatenate(p) for p in prev], np.concatenate(cur), np.concatenate(who)
     codes = [np.zeros_like(now), back[0], back[1] * width + back[0], (back[2] * width + back[1]) * width + back[0]]
     least = NODE_COUNT
@@ -99,7 +101,7 @@ def learn(samples: list[tuple[str, bytes]]) -> Trees | None:
         nodes = []
         for order in range(ORDER + 1):
             u, n = np.unique(codes[order], return_counts=True)
-            nodes.append(u[n >= least] if order else np.zeros(1, np.int64))
+            nodes.append(u[n >= least].astype(np.int64) if order else np.zeros(1, np.int64))
         if sum(map(len, nodes)) * width * len(languages) * 4 <= TABLE_BYTES or least > 1 << 20:
             break
         least *= 2
@@ -130,14 +132,42 @@ def learn(samples: list[tuple[str, bytes]]) -> Trees | None:
 
 
 def training_sample(documents: DataFrame, learn_from: Column, doc_id: str, text: str, lang: str) -> list[tuple[str, bytes]]:
-    """About PER_LANGUAGE hash-chosen documents of each language among those that may be learned from."""
-    pool = documents.where(learn_from & F.col(lang).isNotNull())
-    counts = {r[0]: r[1] for r in pool.groupBy(lang).count().collect()}  # reads no text
+    """Up to PER_LANGUAGE hash-chosen documents of each language, whole, among the usable ones: that may be learned from and have a text.
+
+    Rows of equal id and text are one document. No document is taken once the ones before have LANGUAGE_BYTES; those that alone
+    are larger come last, so they are taken only where the others are too few, and every language with a text is learned.
+    """
+    key = F.xxhash64(F.col(doc_id), F.col(text)).alias("_h")
+    pool = documents.where(learn_from & F.col(lang).isNotNull() & (F.octet_length(text) > 0)).select(F.col(lang).alias("_lang"), key, F.col(text).cast("binary").alias("_bytes"))
+    counts = {r[0]: r[1] for r in pool.groupBy("_lang").agg(F.approx_count_distinct("_h")).collect()}
     if not counts:
         return []
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, PER_LANGUAGE / n))])
-    chosen = pool.where((F.pmod(F.xxhash64(F.col(doc_id)), F.lit(1 << 20)) < share[F.col(lang)] * (1 << 20)) & F.octet_length(text).between(1, LARGEST))
-    return sorted((r[0], bytes(r[1])) for r in chosen.select(lang, F.col(text).cast("binary")).collect())
+    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 2 * PER_LANGUAGE / max(n, 1)))])  # twice, as counts are approximate
+    draw = F.pmod("_h", F.lit(1 << 40))
+    drawn = pool.where(draw < share[F.col("_lang")] * (1 << 40)).select("_lang", "_h", F.octet_length("_bytes").cast("long").alias("_size"))
+    order = Window.partitionBy("_lang").orderBy(F.col("_size") > LANGUAGE_BYTES, draw, "_h")
+    before = F.coalesce(F.sum("_size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = drawn.groupBy("_lang", "_h").agg(F.max("_size").alias("_size")).withColumns({"_rank": F.row_number().over(order), "_before": before})
+    chosen = ranked.where((F.col("_rank") <= PER_LANGUAGE) & (F.col("_before") < LANGUAGE_BYTES)).select("_lang", "_h").collect()
+    kind = pool.schema["_lang"].dataType.simpleString()
+    wanted = documents.sparkSession.createDataFrame([tuple(r) for r in chosen], f"_lang {kind}, _h long")
+    rows = pool.join(F.broadcast(wanted), ["_lang", "_h"]).select("_lang", "_h", "_bytes")
+    small_batches(documents.sparkSession)
+    once = rows.mapInArrow(_first_of_each, rows.schema).dropDuplicates(["_lang", "_h"])
+    return sorted((r[0], bytes(r[1])) for r in once.select("_lang", "_bytes").collect())
+
+
+def _first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first row of each (language, key) of a task, so that copies are not brought together."""
+    seen: set[tuple[str, int]] = set()
+    for batch in batches:
+        keep = []
+        for i, key in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+            if key not in seen:
+                seen.add(key)
+                keep.append(i)
+        if keep:
+            yield batch.take(pa.array(keep, pa.int32()))
 
 
 def identify(documents: DataFrame, learn_from: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

@@ -150,6 +150,24 @@ def test_language_id(spark, empty):
     assert {r.lang_pred for r in language_id.identify(d, F.lit(False)).collect()} == {"und"}
 
 
+def test_language_sample_is_full_and_bounded(spark, monkeypatch):
+    long = " ".join(WORDS) * 8
+    data = [(i, f"usable {i}" if i % 75 == 0 else ["", None][i % 2], "en") for i in range(3000)]  # 40 usable
+    data += [(i, f"{long} {i}", "es") for i in range(20)]  # all over 16 KB
+    data += [(None, f"ohne {i}", "de") for i in range(1000)]  # no id
+    data += [(None, "copie", "fr")] * 3000 + [(7, f"autre {i}", "fr") for i in range(10)]  # copies, and one id with several texts
+    data += [(i, f"molti {i}", "it") for i in range(5000)]
+    d = spark.createDataFrame(data, "doc_id long, text string, lang string").repartition(3)
+    sample = lambda: language_id.training_sample(d, F.lit(True), "doc_id", "text", "lang")
+    got = sample()
+    assert Counter(x for x, _ in got) == {"en": 40, "es": 20, "de": 400, "fr": 11, "it": 400} and got == sample()
+    assert len(set(got)) == len(got) and set(got) <= {(x, (t or "").encode()) for _, t, x in data}
+    monkeypatch.setattr(language_id, "LANGUAGE_BYTES", 50_000)
+    assert len(long) * 2 < 50_000 < len(long) * 3 and Counter(x for x, _ in sample())["es"] == 3
+    monkeypatch.setattr(language_id, "LANGUAGE_BYTES", 1000)
+    assert Counter(x for x, _ in sample())["es"] == 1
+
+
 def test_code_lengths_are_those_of_the_trees():
     """Bit by bit against a direct reading of the definition: escape from unknown contexts to shorter ones."""
     train = b"abracadabra abracadabra abba"
