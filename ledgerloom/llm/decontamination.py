@@ -66,16 +66,12 @@ def _bounded(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def find_leaks(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """doc_id, item_id, n_item, n_found, containment of every pair in which the document holds CONTAINMENT of the item's shingles.
-
-    Items without words, and null or empty texts, are in no pair. Rows that repeat a doc_id are one document, and so are
-    those of an item; rows with a null id are matched like others. Neither table's other columns are read.
-    """
+def _held(docs: DataFrame, benchmark: DataFrame, item_id: str, item_text: str) -> DataFrame:
+    """(_doc, _item, _n, _found) of rows (_doc, _text): the items of which the texts of one _doc together hold CONTAINMENT."""
     items = stored(item_shingles(benchmark, item_id, item_text))
     sizes = {r._length: r.n for r in items.groupBy("_length").agg(F.count("*").alias("n")).collect()}
     total = sum(sizes.values())
-    docs = documents.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_text")).where(F.col("_text").isNotNull())
+    docs = docs.where(F.col("_text").isNotNull())
     lengths = sorted(sizes)
     sketch = items.where("_sketch").select("_item", "_h")
     near = stored(document_shingles(docs, lengths).join(_bounded(sketch, total), "_h").select("_doc", "_item").distinct())
@@ -86,12 +82,25 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id
     hits = document_shingles(docs, lengths).join(full, "_h").groupBy("_doc", "_item", "_n").agg(F.count_distinct("_h").alias("_found"))
     again = near.select(F.col("_doc").alias("_d"), F.col("_item").alias("_i"))
     hits = hits.where(F.col("_found") >= F.col("_n") * F.lit(CONTAINMENT))
-    hits = hits.join(again, F.col("_doc").eqNullSafe(F.col("_d")) & F.col("_item").eqNullSafe(F.col("_i")), "left_semi")
+    return hits.join(again, F.col("_doc").eqNullSafe(F.col("_d")) & F.col("_item").eqNullSafe(F.col("_i")), "left_semi")
+
+
+def find_leaks(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """doc_id, item_id, n_item, n_found, containment of every pair in which the document holds CONTAINMENT of the item's shingles.
+
+    Items without words, and null or empty texts, are in no pair. Rows that repeat a doc_id are one document, and so are
+    those of an item and those with a null id. Neither table's other columns are read.
+    """
+    hits = _held(documents.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_text")), benchmark, item_id, item_text)
     return hits.select(F.col("_doc").alias(doc_id), F.col("_item").alias(item_id), F.col("_n").cast("long").alias("n_item"), F.col("_found").cast("long").alias("n_found"), (F.col("_found") / F.col("_n")).alias("containment"))
 
 
-def remove_leaks(documents: DataFrame, benchmark: DataFrame, **names: str) -> DataFrame:
-    """The documents in no pair of find_leaks, with all their columns."""
-    doc_id = names.get("doc_id", "doc_id")
-    bad = stored(find_leaks(documents, benchmark, **names).select(F.col(doc_id).alias("_bad")).distinct())
-    return documents.join(_bounded(bad, bad.count()), F.col(doc_id).eqNullSafe(F.col("_bad")), "left_anti")
+def remove_leaks(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows whose own text does not hold CONTAINMENT of an item's shingles, with all their columns.
+
+    Every row is judged by itself, also where ids are null or repeat: rows are told apart by id and hash of the text.
+    """
+    key = F.struct(F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("hash"))
+    hits = _held(documents.select(key.alias("_doc"), F.col(text).alias("_text")), benchmark, item_id, item_text)
+    bad = stored(hits.select(F.col("_doc").alias("_bad")).distinct())
+    return documents.join(_bounded(bad, bad.count()), key.eqNullSafe(F.col("_bad")), "left_anti")

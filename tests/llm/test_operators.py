@@ -100,6 +100,18 @@ def test_decontamination(spark, docs, empty):
     assert decontamination.find_leaks(empty, bench).count() == 0 and decontamination.find_leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_leaks_are_removed_row_by_row(spark):
+    item = BASE[:24]
+    bench = spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")
+    leak, halves = " ".join(["x", *item, "y"]), [" ".join(item[:14]), " ".join(item[10:])]
+    clean = [" ".join(words(30)) for _ in range(4)]
+    data = [(None, leak), (None, clean[0]), (None, halves[0]), (None, halves[1]), (None, None), (3, leak), (3, clean[1]), (3, None), (4, halves[0]), (4, halves[1]), (5, clean[2]), (6, leak), (6, leak)]
+    d = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    kept = [tuple(r) for r in decontamination.remove_leaks(d, bench).collect()]
+    assert Counter(kept) == Counter(r for r in data if r[1] != leak)
+    assert {r.doc_id for r in decontamination.find_leaks(d, bench).collect()} == {None, 3, 4, 6}  # there, rows of one id are one document
+
+
 def test_decontamination_main_path_is_native(docs, spark):
     bench = spark.createDataFrame([(0, "a b c d e f")], "item_id long, text string")
     plan = decontamination.find_leaks(docs, bench)._jdf.queryExecution().executedPlan().toString()
