@@ -256,6 +256,18 @@ def test_jaccard_components(spark, docs, empty, monkeypatch):
     assert ngram_join.jaccard_components(empty).count() == 0
 
 
+def test_keep_one_tells_rows_of_an_id_apart(spark):
+    alone, other = " ".join(words(30)), " ".join(words(40))
+    near = " ".join(BASE[:59])
+    data = [(1, " ".join(BASE)), (2, near), (2, alone), (2, alone), (2, None), (3, "ab cd"), (3, "ab cd"), (None, other), (None, other), (None, other.upper()), (None, " ".join(other.split()[:39])), (None, near), (None, ""), (None, None), (4, None)]
+    d = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    kept = Counter((r.doc_id, r.text) for r in ngram_join.keep_one(d).collect())
+    of_other = [x for x in kept if x[0] is None and x[1]]
+    assert len(of_other) == 1 and kept[of_other[0]] == 1 and of_other[0][1].lower() in (other, " ".join(other.split()[:39]))
+    del kept[of_other[0]]
+    assert kept == Counter([(1, " ".join(BASE)), (2, alone), (2, None), (3, "ab cd"), (None, ""), (None, None), (4, None)])
+
+
 def test_one_id_for_all_rows(spark):
     texts = list(near_copies(40, 8))
     for i in (None, 3):
