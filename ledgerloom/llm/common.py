@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows in one Arrow batch: texts are a few KB, so a batch is a few MB.
 BATCH_ROWS = 256
+#: Rows up to which a table by key is broadcast; a larger one is joined over SALTS copies, as a key can have a third of all rows.
+BROADCAST_ROWS, SALTS = 200_000, 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +37,17 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def attach(rows: DataFrame, small: DataFrame, keys: list[str], how: str = "left", most: int | None = None) -> DataFrame:
+    """Join with a table of one row for each key, without bringing a key's rows together; `most`: rows that `small` has at most, if known."""
+    if most is None:
+        small = stored(small)
+        most = small.count()
+    if most <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(small), keys, how)
+    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(F.struct(*rows.columns)), F.lit(SALTS)).cast("int")).join(salted, [*keys, "_salt"], how).drop("_salt")
+
+
 def release_memory() -> None:
     """Give back what a Python worker no longer uses: it idles between tasks beside the JVM and the next task's worker."""
     pa.default_memory_pool().release_unused()

@@ -7,10 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import stored
+from ledgerloom.llm.common import attach
 
-#: Rows up to which a table by host or template is broadcast; a larger one is joined over SALTS copies, as a host can have a third of all rows.
-BROADCAST_ROWS, SALTS = 200_000, 16
 #: (host, path, verdict): the rule fits the host and its subdomains when the path starts with the rule's path.
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 #: Segments that vary by nature: numbers, hex strings, dates and the like, with any file suffix.
@@ -51,15 +49,6 @@ def rule_columns(host: Column, path: Column, rules: list[tuple[str, str, str]])
     return rule, verdict
 
 
-def attach(rows: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
-    """Left join with a table of one row for each key, without bringing a key's rows together."""
-    small = stored(small)
-    if small.count() <= BROADCAST_ROWS:
-        return rows.join(F.broadcast(small), keys, "left")
-    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("_salt", F.pmod(F.xxhash64(F.struct(*rows.columns)), F.lit(SALTS)).cast("int")).join(salted, [*keys, "_salt"], "left").drop("_salt")
-
-
 def path_templates(urls: DataFrame, params: TreeParams) -> DataFrame:
     """Adds ``_template`` to rows with ``_host, _path``: segments that vary become ``*``.
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import components, decontamination, language_id, mixing, neighbours, ngram_join, quality, sharding, text_hash, token_counts, toxicity, url_filter
+from ledgerloom.llm import common, components, decontamination, language_id, mixing, neighbours, ngram_join, quality, sharding, text_hash, token_counts, toxicity, url_filter
 from ledgerloom.llm.common import crc_bucket
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, _id string, score double, shard int, _text string"
@@ -243,9 +243,10 @@ def test_jaccard_components(spark, docs, empty, monkeypatch):
     texts = {i: t for i, t in enumerate([*TEXTS, *near_copies(60, 1), *near_copies(60, 2), *[" ".join(words(int(n))) for n in R.integers(1, 9, 60)], *[" ".join(BASE[:k] + words(3)) for k in range(2, 30)], *[" ".join(list("abcdef")[:k]) for k in range(1, 7)]])}
     d = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
     want, sizes = brute_components(texts)
-    for block, frequent in ((512, 32), (8, 3)):  # small blocks and low counts take the ways of large groups
-        monkeypatch.setattr(ngram_join, "BLOCK", block)
-        monkeypatch.setattr(ngram_join, "FREQUENT", frequent)
+    for block, frequent, most, listed, rows in ((512, 32, 4_000_000, 2048, 200_000), (8, 3, 10, 2, 0)):  # small values take the ways of large groups and tables
+        for name, value in (("BLOCK", block), ("FREQUENT", frequent), ("MOST_FREQUENT", most), ("LIST_BLOCK", listed)):
+            monkeypatch.setattr(ngram_join, name, value)
+        monkeypatch.setattr(common, "BROADCAST_ROWS", rows)
         got = ngram_join.jaccard_components(d).collect()
         assert {r.doc_id: r.component_id for r in got} == want and {r.doc_id: r.n_shingles for r in got} == sizes
     again = {(r.doc_id, r.component_id) for r in ngram_join.jaccard_components(docs).collect()}
@@ -275,6 +276,16 @@ def test_one_id_for_all_rows(spark):
         assert {(r.doc_id, r.component_id) for r in ngram_join.jaccard_components(d).collect()} == {(i, i)}
 
 
+def test_sketches_bound_the_difference():
+    r = np.random.default_rng(1)
+    for n in (1, 10, 200):
+        a = np.unique(r.integers(0, 1 << 63, n, np.int64).view(np.uint64))
+        b = np.unique(np.concatenate([a[: n * 7 // 8], r.integers(0, 1 << 63, n // 8, np.int64).view(np.uint64)]))
+        differ = sum(int(x).bit_count() for x in (ngram_join.sketch(a) ^ ngram_join.sketch(b)).view(np.uint64))
+        both = len(np.intersect1d(a, b))
+        assert differ <= len(a) + len(b) - 2 * both and (100 * both < 75 * (len(a) + len(b) - both) or 7 * differ <= len(a) + len(b))
+
+
 def test_links_across_two_lists():
     a, b = np.arange(10, dtype=np.uint64), np.arange(1, 11, dtype=np.uint64)
     assert ngram_join.links([a, b]) == [(0, 1)] and ngram_join.links([a], [b]) == [(0, 1)] and ngram_join.links([a]) == [] and ngram_join.links([], [a, b]) == []
@@ -331,7 +342,7 @@ def test_url_rules_and_templates(spark):
 
 @pytest.mark.parametrize("most", [200_000, 0])
 def test_url_tree_learns_templates(spark, monkeypatch, most):
-    monkeypatch.setattr(url_filter, "BROADCAST_ROWS", most)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", most)
     rows = [(i, f"http://shop.biz/item/{w}-{i}x/view") for i, w in enumerate(WORDS[:40])] + [(100 + i, f"http://shop.biz/spam/{i}") for i in range(30)] + [(200 + i, f"http://shop.biz/spam/{900 + i}.html") for i in range(5)]
     d = spark.createDataFrame(rows, "page_id long, url string")
     rules = [("shop.biz", f"/spam/{i}", "block") for i in range(3)]
