@@ -11,10 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerloom.llm.common import small_batches
-
-#: Rows of a candidate tile and of a query tile; bytes of query vectors (as doubles) that one pass broadcasts at most.
-TILE_ROWS, TILE_QUERIES, PASS_BYTES = 2048, 512, 32 << 20
+from ledgerloom.llm.common import release_memory, small_batches
+
+#: Rows of a candidate and of a query tile of a product; bytes of a tile as it is shuffled.
+TILE_ROWS, TILE_QUERIES, TILE_BYTES = 2048, 512, 256 << 10
+#: Bytes of query vectors (as doubles) that a cell of the block matrix holds, and of candidates that pass by it.
+QUERY_BYTES, CANDIDATE_BYTES = 32 << 20, 64 << 20
+#: Candidates for each of which there is one column of cells, while these are fewer than SPREAD: small tables use all cores.
+SPREAD_ROWS, SPREAD = 4096, 64
 #: Above so many dimensions int8 products no longer add up exactly in float32.
 _EXACT_FLOAT32 = 1040
 
@@ -80,8 +84,7 @@ def search_tile(queries: Block, found: list[list[tuple[float, int]]], candidates
             reach = np.maximum(reach, np.partition(best, len(first) - k, axis=1)[:, -k] - 1e-9)
         least = np.maximum(reach[:, None], best[:, group] - 1e-9) if repeated else reach[:, None]
         i, j = np.nonzero((near + slack >= least) & ~own)
-        scores = cosines(queries, i + at, candidates, j)
-        for q, score, other in zip((i + at).tolist(), scores.tolist(), candidates.ids[j].tolist(), strict=True):
+        for q, score, other in _best(i + at, cosines(queries, i + at, candidates, j), candidates.ids[j], k):
             heap, item = found[q], (score, -other)
             if len(heap) == k and item <= heap[0]:
                 continue
@@ -96,17 +99,103 @@ def search_tile(queries: Block, found: list[list[tuple[float, int]]], candidates
                 heapq.heapreplace(heap, item)
 
 
-def _blocks(ids: pa.Array, vectors: pa.Array) -> Iterator[Block]:
-    lengths = vectors.value_lengths().to_numpy(zero_copy_only=False)
-    ids, flat = ids.to_numpy(zero_copy_only=False), vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    starts = np.concatenate([[0], np.cumsum(lengths)])[:-1]
-    for n in np.unique(lengths):
-        rows = np.flatnonzero(lengths == n)
-        own, values = ids[rows], flat[starts[rows, None] + np.arange(n)[None, :]]
-        if len(np.unique(own)) < len(own):  # equal rows of one id offer nothing more
-            keep = np.sort(np.unique(np.column_stack([own.astype(np.int64)[:, None].view(np.float64), values]).view(np.int64), axis=0, return_index=True)[1])
-            own, values = own[keep], values[keep]
-        yield Block(own, values)
+def _best(query: np.ndarray, score: np.ndarray, other: np.ndarray, k: int) -> Iterator[tuple[int, float, int]]:
+    """Of each query's scored pairs the k best of different ids, ties to the smaller id."""
+    order = np.lexsort((-score, other, query))
+    query, score, other = query[order], score[order], other[order]
+    new = np.ones(len(query), bool)
+    new[1:] = (query[1:] != query[:-1]) | (other[1:] != other[:-1])
+    query, score, other = query[new], score[new], other[new]
+    order = np.lexsort((other, -score, query))
+    query, score, other = query[order], score[order], other[order]
+    rank = np.arange(len(query)) - np.searchsorted(query, query)
+    return zip(query[rank < k].tolist(), score[rank < k].tolist(), other[rank < k].tolist(), strict=True)
+
+
+def _tiles(rows: DataFrame) -> DataFrame:
+    """(_len, _rows, _tile) of rows (_id, _v): vectors of one length, packed by each task as ids and then doubles, up to TILE_BYTES."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+        def tile(n: int) -> pa.RecordBatch:
+            parts = held.pop(n)
+            ids, values = np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
+            return pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.array([len(ids)], pa.int32()), pa.array([ids.tobytes() + values.tobytes()], pa.binary())], names=["_len", "_rows", "_tile"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, vectors = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), batch.column(1)
+            lengths, flat = vectors.value_lengths().to_numpy(zero_copy_only=False), vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            starts = np.cumsum(lengths) - lengths
+            for n in np.unique(lengths).tolist():
+                at = np.flatnonzero(lengths == n)
+                step = max(1, TILE_BYTES // (8 * n))
+                for lo in range(0, len(at), step):
+                    part = at[lo : lo + step]
+                    if n in held and sum(len(x) for x, _ in held[n]) + len(part) > step:
+                        yield tile(n)
+                    held.setdefault(n, []).append((ids[part], flat[starts[part, None] + np.arange(n)[None, :]]))
+        for n in list(held):
+            yield tile(n)
+        release_memory()
+
+    return rows.mapInArrow(pack, "_len int, _rows int, _tile binary")
+
+
+def _unpacked(n: int, tiles: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    ids, values = [], []
+    for tile in tiles:
+        rows = len(tile) // (8 * (n + 1))
+        ids.append(np.frombuffer(tile, np.int64, rows))
+        values.append(np.frombuffer(tile, np.float64, rows * n, 8 * rows).reshape(rows, n))
+    ids, values = np.concatenate(ids), np.concatenate(values)
+    if len(np.unique(ids)) < len(ids):  # equal rows of one id offer nothing more
+        keep = np.sort(np.unique(np.column_stack([ids[:, None].view(np.float64), values]).view(np.int64), axis=0, return_index=True)[1])
+        ids, values = ids[keep], values[keep]
+    return ids, values
+
+
+def _search_cells(k: int):
+    """Over the tiles of whole cells, the queries of a cell first: (query_id, vec_id, score) of the k best in the cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, asked, queries, found, waiting = None, [], None, [], []
+
+        def search() -> None:
+            nonlocal queries, found, waiting
+            if queries is None and asked:
+                queries = Block(*_unpacked(cell[0], asked))
+                found = [[] for _ in queries.ids]
+            if queries is not None and waiting:
+                search_tile(queries, found, Block(*_unpacked(cell[0], waiting)), k)
+            waiting = []
+
+        def result() -> Iterator[pa.RecordBatch]:
+            search()
+            out = [(q, -other, score) for q, heap in zip(queries.ids.tolist() if queries is not None else (), found, strict=True) for score, other in heap]
+            if out:
+                q, other, score = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(other, pa.int64()), pa.array(score, pa.float64())], names=["query_id", "vec_id", "score"])
+
+        for batch in batches:
+            for *key, is_candidate, rows, tile in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if key != cell:
+                    if cell is not None:
+                        yield from result()
+                    cell, asked, queries, found, waiting = key, [], None, [], []
+                if not is_candidate:
+                    asked.append(tile)
+                    continue
+                waiting.append(tile)
+                if sum(map(len, waiting)) >= 8 * (cell[0] + 1) * TILE_ROWS:
+                    search()
+        if cell is not None:
+            yield from result()
+        release_memory()
+
+    return run
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -114,42 +203,27 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec
 
     Candidates are all rows with another id. Vectors that are null, zero or hold null or non-finite components take no part,
     nor do rows without an id; vectors of different lengths are never compared; rows that repeat an id offer their best cosine
-    (of a repeated query's vectors, one is taken). Queries are broadcast pass by pass, each of at most PASS_BYTES, and every
-    pass reads all candidates in tiles; a task hands on k rows per query.
+    (of a repeated query's vectors, the least is taken). An empty table gives no rows; other columns are not read.
+
+    Both sides are packed into tiles, and the tiles dealt over the cells of a block matrix: a query tile goes to all cells of its row, a
+    candidate tile to all of its column. A task holds a cell's queries and sees its candidates tile by tile; nothing is broadcast or
+    collected. Each cell hands on k rows per query.
     """
     spark = vectors.sparkSession
-    slim = vectors.select(F.col(vec_id).cast("long").alias("_id"), F.col(vector).cast("array<double>").alias("_v")).where(F.col("_id").isNotNull() & usable(F.col("_v")))
-    asked = vectors.where(is_query).select(F.col(vec_id).cast("long").alias("_id"), F.col(vector).cast("array<double>").alias("_v")).where(F.col("_id").isNotNull() & usable(F.col("_v")))
-    total = asked.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("_v")), F.lit(0)).alias("d")).first()
-    passes = max(1, -(-total.d * 8 // PASS_BYTES))
-    small_batches(spark, TILE_ROWS)
-    parts = [_one_pass(slim, asked.where(F.pmod(F.xxhash64("_id"), F.lit(passes)) == p) if passes > 1 else asked, k) for p in range(passes)]
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
+    named = lambda df: df.select(F.col(vec_id).cast("long").alias("_id"), F.col(vector).cast("array<double>").alias("_v")).where(F.col("_id").isNotNull() & usable(F.col("_v")))
+    slim = named(vectors)
+    asked = named(vectors.where(is_query)).groupBy("_id").agg(F.min("_v").alias("_v"))
+    count = lambda df: df.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("_v")), F.lit(0)).alias("d")).first()
+    of_queries, of_all = count(named(vectors.where(is_query))), count(slim)
+    rows = max(1, -(-of_queries.d * 8 // QUERY_BYTES))
+    columns = max(1, -(-of_all.d * 8 // CANDIDATE_BYTES), min(SPREAD, -(-of_all.n // SPREAD_ROWS)))
+    small_batches(spark)
+    dealt = F.xxhash64("_tile")
+    everywhere = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = _tiles(asked).select("_len", F.pmod(dealt, F.lit(rows)).cast("int").alias("_i"), everywhere(columns).alias("_j"), F.lit(0).alias("_side"), "_rows", "_tile")
+    right = _tiles(slim).select("_len", everywhere(rows).alias("_i"), F.pmod(dealt, F.lit(columns)).cast("int").alias("_j"), F.lit(1).alias("_side"), "_rows", "_tile")
+    cells = left.unionByName(right).repartition("_len", "_i", "_j").sortWithinPartitions("_len", "_i", "_j", "_side")
+    found = cells.mapInArrow(_search_cells(k), "query_id long, vec_id long, score double")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def _one_pass(slim: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    rows = {r._id: r._v for r in sorted(asked.collect(), key=lambda r: (r._id, r._v), reverse=True)}
-    by_length: dict[int, list[int]] = {}
-    for i in sorted(rows):
-        by_length.setdefault(len(rows[i]), []).append(i)
-    shared = slim.sparkSession.sparkContext.broadcast({n: (np.array(ids, np.int64), np.array([rows[i] for i in ids], np.float64)) for n, ids in by_length.items()})
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries = {n: Block(*x) for n, x in shared.value.items()}
-        found: dict[int, list[list[tuple[float, int]]]] = {n: [[] for _ in b.ids] for n, b in queries.items()}
-        for batch in batches:
-            for block in _blocks(batch.column(0), batch.column(1)) if batch.num_rows else ():
-                if (n := block.codes.shape[1]) in queries:
-                    search_tile(queries[n], found[n], block, k)
-        for n, heaps in found.items():
-            out = [(q, -other, score) for q, heap in zip(queries[n].ids.tolist(), heaps, strict=True) for score, other in heap]
-            if out:
-                q, other, score = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(other, pa.int64()), pa.array(score, pa.float64())], names=["query_id", "vec_id", "score"])
-
-    return slim.mapInArrow(run, "query_id long, vec_id long, score double")
