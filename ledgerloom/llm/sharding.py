@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerloom.llm.common import stored
+from ledgerloom.llm.common import attach, stored
 
-#: Groups that one task differences, for fewer and for more than MANY groups.
-BUCKET_GROUPS, BUCKET_GROUPS_LARGE, MANY = 4096, 65536, 16_000_000
-#: Groups, evenly chosen by size, that all buckets together hand on as they are, and a bucket at most: they even out the rest.
+#: Items that one task differences, and items that the driver differences at the end: levels are added until there are so few.
+BUCKET_ITEMS, LAST_ITEMS = 4096, 65_536
+#: Items, evenly chosen by size, that all buckets of a level together hand on as they are, and a bucket at most: they even out the rest.
 SINGLES, SINGLES_OF_BUCKET = 16384, 512
+#: Rows of a text from which its shard is attached to them without bringing them together.
+MANY_COPIES = 1000
 #: Rows of one window that numbers slots.
 SLOT_ROWS = 20_000
 
@@ -65,54 +67,74 @@ def karmarkar_karp(sizes: Iterable[int], k: int) -> list[int]:
     return out
 
 
-def group_parts(groups: DataFrame, buckets: int, shards: int, large: int) -> DataFrame:
-    """(_group, _bytes) -> (_group, _bytes, _bucket, _part): differencing within hash buckets of bounded size.
+def difference_level(items: DataFrame, count: int, shards: int, large: int) -> DataFrame:
+    """(_item, _bytes) -> (_item, _bytes, _to): differencing within hash buckets of bounded size, `_to` names the part.
 
-    Groups of more than `large` bytes are parts by themselves, and so are a bucket's evenly chosen singles.
+    Items of more than `large` bytes are parts by themselves, and so are a bucket's evenly chosen singles. A bucket makes 64 parts
+    where few buckets are, so that the last level has enough to even out, and one a shard otherwise.
     """
+    buckets = max(1, -(-count // BUCKET_ITEMS))
     parts = shards * (4 if buckets < 64 else 1)
     singles = max(2, min(SINGLES_OF_BUCKET, SINGLES // buckets))
 
     def difference(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_bytes", "_group"], ascending=[False, True], ignore_index=True)
+        pdf = pdf.sort_values(["_bytes", "_item"], ascending=[False, True], ignore_index=True)
         alone = (pdf.index % max(1, len(pdf) // singles) == 0) | (pdf["_bytes"].to_numpy() > large)
-        part = np.zeros(len(pdf), np.int32)
+        part = np.zeros(len(pdf), np.int64)
         part[~alone] = karmarkar_karp(pdf.loc[~alone, "_bytes"].tolist(), parts)
         part[alone] = parts + np.arange(alone.sum())
-        return pdf.assign(_part=part)
-
-    dealt = groups.withColumn("_bucket", F.pmod(F.xxhash64("_group"), F.lit(buckets)).cast("int"))
-    return dealt.groupBy("_bucket").applyInPandas(difference, "_group string, _bytes long, _bucket int, _part int")
+        return pd.DataFrame({"_item": pdf["_item"], "_bytes": pdf["_bytes"], "_to": [f"{b}/{p}" for b, p in zip(pdf["_bucket"], part, strict=True)]})
+
+    dealt = items.withColumn("_bucket", F.pmod(F.xxhash64("_item"), F.lit(buckets)).cast("int"))
+    return stored(dealt.groupBy("_bucket").applyInPandas(difference, "_item string, _bytes long, _to string"))
+
+
+def shards_of(groups: DataFrame, count: int, shards: int, large: int) -> DataFrame:
+    """(_item, shard) of the `count` groups (_item, _bytes): levels of differencing, until the driver can difference what is left."""
+    levels, items = [], groups
+    while True:
+        levels.append(difference_level(items, count, shards, large))
+        items = stored(levels[-1].groupBy(F.col("_to").alias("_item")).agg(F.sum("_bytes").alias("_bytes")))
+        before, count = count, items.count()
+        if count <= LAST_ITEMS or 2 * count > before:
+            break
+    last = items.orderBy(F.desc("_bytes"), "_item").collect()  # at most LAST_ITEMS, or groups of which few are not large
+    chosen = karmarkar_karp([x["_bytes"] for x in last], shards)
+    placed = groups.sparkSession.createDataFrame([(x["_item"], s) for x, s in zip(last, chosen, strict=True)], "_to string, shard int")
+    for level in reversed(levels):
+        placed = attach(level, placed, ["_to"], "inner").select("_item", "shard")
+        placed = placed if level is levels[0] else placed.withColumnRenamed("_item", "_to")
+    return placed
 
 
 def shard_documents(documents: DataFrame, shards: int = 16, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: doc_id, size, text_crc32, shard, slot. Rows of equal text stay in one shard.
 
-    Size is the UTF-8 length plus 1; null texts have length 0 and form one group, and a null id is an id like others.
-    Two levels of differencing: buckets of about BUCKET_GROUPS groups are differenced in parallel into parts, and the driver
-    differences those parts with the groups kept single: some for each bucket, never rows or all groups. Groups of more
-    than an eighth of a shard, of which there are few, are always among those. Copies are counted before any shuffle, so a hot group is one row per task.
+    Size is the UTF-8 length plus 1; null texts have length 0 and form one group, and a null id is an id like others; an empty table gives
+    none. Buckets of about BUCKET_ITEMS groups are differenced in parallel into parts, these again, until LAST_ITEMS are left, which the
+    driver differences: never rows or all groups. Groups of more than an eighth of a shard, of which there are few, are always among
+    those. Copies are counted before any shuffle, and no join or window brings the copies of a text together.
     """
     content = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = stored(documents.select(F.col(doc_id).alias("_id"), F.when(F.col(text).isNull(), F.lit("")).otherwise(F.md5(content.cast("binary"))).alias("_group"), (F.octet_length(content) + F.lit(1)).cast("long").alias("size"), F.crc32(content.cast("binary")).alias("text_crc32")))
-    groups = rows.groupBy("_group").agg(F.sum("size").alias("_bytes"), F.count("*").alias("_rows"))
+    group = F.when(F.col(text).isNull(), F.lit("")).otherwise(F.md5(content.cast("binary")))
+    rows = stored(documents.select(F.col(doc_id).alias("_id"), group.alias("_group"), (F.octet_length(content) + F.lit(1)).cast("long").alias("size"), F.crc32(content.cast("binary")).alias("text_crc32"), F.monotonically_increasing_id().alias("_row")))
+    groups = stored(rows.groupBy("_group").agg(F.sum("size").alias("_bytes"), F.count("*").alias("_rows")))
     total = groups.agg(F.count("*").alias("n"), F.sum("_bytes").alias("bytes"), F.sum("_rows").alias("rows")).first()
-    buckets = max(1, -(-total.n // (BUCKET_GROUPS if total.n < MANY else BUCKET_GROUPS_LARGE)))
-    dealt = stored(group_parts(groups.select("_group", "_bytes"), buckets, shards, (total.bytes or 0) // (8 * shards)))
-    items = dealt.groupBy("_bucket", "_part").agg(F.sum("_bytes").alias("b")).orderBy(F.desc("b"), "_bucket", "_part").collect()
-    chosen = karmarkar_karp([x.b for x in items], shards)
-    spark = documents.sparkSession
-    placed = spark.createDataFrame([(x._bucket, x._part, s) for x, s in zip(items, chosen, strict=True)], "_bucket int, _part int, shard int")
-    by_group = dealt.join(placed, ["_bucket", "_part"]).select("_group", "shard")
-    out = rows.join(by_group, "_group")
+    by_group = shards_of(groups.select(F.col("_group").alias("_item"), "_bytes"), total.n, shards, (total.bytes or 0) // (8 * shards)).withColumnRenamed("_item", "_group")
+    many = stored(groups.where(F.col("_rows") >= MANY_COPIES).select("_group").join(by_group, "_group"))
+    if many.isEmpty():
+        out = rows.join(by_group, "_group")
+    else:
+        marked = attach(rows, many, ["_group"])
+        out = marked.where("shard IS NOT NULL").unionByName(marked.where("shard IS NULL").drop("shard").join(by_group, "_group"))
     return with_slots(out, total.rows or 0, shards).select(F.col("_id").alias(doc_id), "size", "text_crc32", "shard", "slot")
 
 
 def with_slots(rows: DataFrame, count: int, shards: int) -> DataFrame:
     """Adds a gapless slot from 0 within each shard: rows are dealt over hash cells whose counts give the offsets."""
     cells = max(1, -(-count // (SLOT_ROWS * shards)))
-    rows = rows.withColumn("_cell", F.pmod(F.xxhash64("_id", "_group"), F.lit(cells)).cast("int"))
+    rows = rows.withColumn("_cell", F.pmod(F.xxhash64("_id", "_group", "_row"), F.lit(cells)).cast("int"))
     counts = rows.groupBy("shard", "_cell").agg(F.count("*").alias("_n"))
     offsets = counts.select("shard", "_cell", (F.sum("_n").over(Window.partitionBy("shard").orderBy("_cell")) - F.col("_n")).alias("_offset"))
-    numbered = rows.withColumn("_in_cell", F.row_number().over(Window.partitionBy("shard", "_cell").orderBy("_id", "_group")))
-    return numbered.join(offsets, ["shard", "_cell"]).withColumn("slot", F.col("_offset") + F.col("_in_cell") - 1)
+    numbered = rows.withColumn("_in_cell", F.row_number().over(Window.partitionBy("shard", "_cell").orderBy("_id", "_group", "_row")))
+    return attach(numbered, offsets, ["shard", "_cell"], "inner", cells * shards).withColumn("slot", F.col("_offset") + F.col("_in_cell") - 1)
