@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import attach
+from ledgerloom.llm.common import attach, stored
 
 #: (host, path, verdict): the rule fits the host and its subdomains when the path starts with the rule's path.
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -49,31 +49,41 @@ def rule_columns(host: Column, path: Column, rules: list[tuple[str, str, str]])
     return rule, verdict
 
 
+def _prefix(at) -> Column:
+    """What stands before segment `at` of ``_seg``, generalised as far as it is yet, as a hash."""
+    return F.xxhash64(F.slice("_seg", F.lit(1), at))
+
+
 def path_templates(urls: DataFrame, params: TreeParams) -> DataFrame:
     """Adds ``_template`` to rows with ``_host, _path``: segments that vary become ``*``.
 
-    A segment varies by its form, or because its position (host, generalised prefix) has many rare children.
-    Only distinct generalised prefixes are counted, after a map-side combine, so a hot host is spread over its prefixes.
+    A segment varies by its form, or because its position (host, generalised prefix) has many rare children. The tree is walked
+    from the root: where positions of a host's level vary, their children become one branch, and the levels below are
+    counted anew under it, so that what varies below a varying segment is found, too. There are as many rounds as levels that
+    vary one below another. Distinct paths are counted, after a map-side combine, and only varying positions come back to the rows.
     """
     segment = lambda x: F.when(x.rlike(VARIABLE), F.lit("*")).otherwise(x)
-    formed = urls.withColumn("_seg", F.transform(F.split(F.regexp_replace("_path", r"^/|/$", ""), "/"), segment))
-    nodes = (
-        formed.groupBy("_host", "_seg").agg(F.count("*").alias("_n"))
-        .select("_host", "_n", "_seg", F.posexplode("_seg").alias("_at", "_child"))
-        .where(F.col("_child") != "*")
-        .groupBy("_host", "_at", F.array_join(F.slice("_seg", F.lit(1), F.col("_at")), "/").alias("_prefix"), "_child")
-        .agg(F.sum("_n").alias("_n"))
-    )
-    variable = (
-        nodes.groupBy("_host", "_at", "_prefix").agg(F.count("*").alias("_children"), F.sum("_n").alias("_rows"))
-        .where((F.col("_children") >= params.children) & (F.col("_rows") < params.rows_per_child * F.col("_children")))
-        .groupBy("_host").agg(F.sort_array(F.collect_set(F.concat_ws("\u0001", F.col("_at").cast("string"), "_prefix"))).alias("_variable"))
-    )
-    starred = F.transform(
-        "_seg",
-        lambda x, i: F.when(F.array_contains(F.coalesce("_variable", F.array().cast("array<string>")), F.concat_ws("\u0001", i.cast("string"), F.array_join(F.slice("_seg", F.lit(1), i), "/"))), F.lit("*")).otherwise(x),
-    )
-    return attach(formed, variable, ["_host"]).withColumn("_template", F.concat(F.lit("/"), F.array_join(starred, "/"))).drop("_seg", "_variable")
+    rows = urls.withColumn("_seg", F.transform(F.split(F.regexp_replace("_path", r"^/|/$", ""), "/"), segment))
+    paths = stored(rows.groupBy("_host", "_seg").agg(F.count("*").alias("_n")))
+    while True:
+        nodes = paths.select("_host", "_n", "_seg", F.posexplode("_seg").alias("_at", "_child")).where(F.col("_child") != "*")
+        nodes = nodes.groupBy("_host", "_at", _prefix(F.col("_at")).alias("_prefix"), "_child").agg(F.sum("_n").alias("_n"))
+        variable = nodes.groupBy("_host", "_at", "_prefix").agg(F.count("*").alias("_children"), F.sum("_n").alias("_rows"))
+        variable = stored(variable.where((F.col("_children") >= params.children) & (F.col("_rows") < params.rows_per_child * F.col("_children"))).select("_host", "_at", "_prefix"))
+        if variable.isEmpty():
+            break
+        level = stored(variable.groupBy("_host").agg(F.min("_at").alias("_at")))
+        first = stored(variable.join(level, ["_host", "_at"], "left_semi").select("_host", "_prefix", F.lit(True).alias("_varies")))
+        rows = _starred(rows, level, first)
+        paths = stored(_starred(attach(paths, level.drop("_at"), ["_host"], "left_semi"), level, first).groupBy("_host", "_seg").agg(F.sum("_n").alias("_n")))
+    return rows.withColumn("_template", F.concat(F.lit("/"), F.array_join("_seg", "/"))).drop("_seg")
+
+
+def _starred(rows: DataFrame, level: DataFrame, first: DataFrame) -> DataFrame:
+    """Rows with ``*`` for their segment at their host's level (_host, _at), where its position (_host, _prefix) varies."""
+    at = attach(rows, level, ["_host"]).withColumn("_prefix", F.when(F.col("_at") < F.size("_seg"), _prefix(F.col("_at"))))
+    star = F.transform("_seg", lambda x, i: F.when(i == F.col("_at"), F.lit("*")).otherwise(x))
+    return attach(at, first, ["_host", "_prefix"]).withColumn("_seg", F.when(F.col("_varies"), star).otherwise(F.col("_seg"))).drop("_at", "_prefix", "_varies")
 
 
 def template_verdicts(rows: DataFrame, params: TreeParams) -> DataFrame:
@@ -85,10 +95,10 @@ def template_verdicts(rows: DataFrame, params: TreeParams) -> DataFrame:
     """
     counts = rows.groupBy("_host", "_template").agg(F.count("_label").alias("_k"), F.coalesce(F.sum("_label"), F.lit(0)).alias("_bad"))
     parent = F.regexp_replace("_template", r"[^/*]+(/\**)*$", "?$1")
-    counts = counts.withColumn("_parent", parent)
+    counts = stored(counts.withColumn("_parent", parent))
     family = counts.groupBy("_host", "_parent").agg(F.sum("_k").alias("_fk"), F.sum("_bad").alias("_fb"))
     host = counts.groupBy("_host").agg(F.sum("_k").alias("_hk"), F.sum("_bad").alias("_hb"))
-    joined = counts.join(family, ["_host", "_parent"]).join(host, "_host")
+    joined = attach(attach(counts, family, ["_host", "_parent"], "inner"), host, ["_host"], "inner")
     pooled = F.when(F.col("_fk") > 0, F.col("_fb") / F.col("_fk")).otherwise(F.lit(0.0))
     error = F.sqrt(pooled * (1 - pooled) / F.greatest(F.col("_k"), F.lit(1)))
     alike = (F.col("_k") > 0) & (F.abs(F.col("_bad") / F.greatest(F.col("_k"), F.lit(1)) - pooled) <= params.z * error)
