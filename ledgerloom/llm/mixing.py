@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerloom.llm.common import WORD, stored
+from ledgerloom.llm.common import WORD, attach, stored
 
-#: Ranges that the key space of each source is cut into; the keys are uniform, so the ranges of a source are even.
-RANGES = 4096
+#: Rows for each of which the key space has one range; the keys are uniform, so a source has no more of them in a range.
+RANGE_ROWS = 20_000
 
 
 def word_count(text: Column) -> Column:
@@ -44,24 +44,38 @@ def mix_sources(documents: DataFrame, doc_id: str = "doc_id", text: str = "text"
     """Per row: doc_id, size (words), source_size, target, taken (words taken, repeats counted), and `carry` columns.
 
     Every source's taken words sum to the integer part of its target: whole epochs for all rows, and the last epoch is cut in
-    key order at the exact word. Keys are md5 of the id, so reruns agree; rows of one id are ordered by size, and rows equal
-    in both are interchangeable. Null texts have size 0 and take 0; null sources are a source; an empty table gives none.
+    key order at the exact word. Keys are md5 of id and text, so reruns agree. Ranges of keys are summed first: what lies before the
+    one in which a source's cut falls is taken whole, and only that one's keys are put in order. Rows of equal id and text are one
+    key and share its words evenly, the part of a word that is left over for each being dropped. Null texts have size 0 and take 0;
+    null sources are a source; an empty table gives none. Sources are expected to be few enough for one window over them.
     """
-    key = F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary"))
-    slim = [F.col(doc_id).alias("_id"), F.col(source).alias("_source"), word_count(F.col(text)).alias("size"), key.alias("_key"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)]]
-    rows = documents.select(*slim).withColumn("_range", F.conv(F.substring("_key", 1, 3), 16, 10).cast("int"))
-    rows = rows if carry else stored(rows)  # ids and counts only: the texts are read once
-    cells = rows.groupBy("_source", "_range").agg(F.sum("size").alias("_cell"))
+    shown = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).cast("binary")
+    key = F.md5(F.concat(shown(doc_id), F.lit(b"/"), F.md5(shown(text)).cast("binary")))
+    rows = documents.select(F.col(doc_id).alias("_id"), F.col(source).alias("_source"), word_count(F.col(text)).alias("size"), key.alias("_key"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)])
+    ranges = max(1, -(-documents.count() // RANGE_ROWS))
+    rows = rows.withColumn("_range", F.floor(F.conv(F.substring("_key", 1, 12), 16, 10).cast("double") / 16.0**12 * ranges).cast("int"))
+    rows = rows if carry else stored(rows)  # ids, counts and keys only: then the texts are read once
+    cells = stored(rows.groupBy("_source", "_range").agg(F.sum("size").alias("_cell")))
     targets = source_targets(cells.groupBy("_source").agg(F.sum("_cell").alias("_size")), weights, share, most)
-    before = F.sum("_cell").over(Window.partitionBy("_source").orderBy("_range")) - F.col("_cell")
-    cells = cells.select("_source", "_range", before.alias("_before"))
-    cells = cells.join(targets.withColumnRenamed("_source", "_of"), F.col("_source").eqNullSafe(F.col("_of"))).drop("_of")
-    cells = cells.select(F.col("_source").alias("_of"), F.col("_range").alias("_at"), "_before", "_size", "_target")
-    in_range = Window.partitionBy("_source", "_range").orderBy("_key", "_id", "size")
-    rows = rows.withColumn("_within", F.sum("size").over(in_range.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size"))
-    out = rows.join(cells, F.col("_source").eqNullSafe(F.col("_of")) & (F.col("_range") == F.col("_at")))
     whole = F.floor(F.col("_target"))
-    epochs = F.coalesce(F.floor(whole / F.nullif(F.col("_size"), F.lit(0))), F.lit(0))
-    rest = whole - epochs * F.col("_size")
-    last = F.least(F.col("size"), F.greatest(F.lit(0), rest - F.col("_before") - F.col("_within")))
-    return out.select(F.col("_id").alias(doc_id), "size", F.col("_size").alias("source_size"), F.col("_target").alias("target"), (epochs * F.col("size") + last).cast("long").alias("taken"), *[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)])
+    targets = targets.withColumn("_epochs", F.coalesce(F.floor(whole / F.nullif(F.col("_size"), F.lit(0))), F.lit(0)))
+    targets = targets.withColumn("_rest", whole - F.col("_epochs") * F.col("_size")).withColumnRenamed("_source", "_of")
+    # the range in which the rest of each source ends, and the words of the source before it
+    ended = F.sum("_cell").over(Window.partitionBy("_source").orderBy("_range"))
+    cells = attach(_null_safe(cells.withColumn("_ended", ended).withColumnRenamed("_source", "_of")), _null_safe(targets), ["_source", "_none"], "inner")
+    last = cells.where(F.col("_ended") >= F.col("_rest")).groupBy("_source", "_none").agg(F.min_by(F.struct("_range", (F.col("_rest") - F.col("_ended") + F.col("_cell")).alias("left")), "_range").alias("_last"))
+    cuts = stored(attach(_null_safe(targets), last, ["_source", "_none"]).select("_source", "_none", "_size", "_target", "_epochs", F.col("_last._range").alias("_at"), F.col("_last.left").alias("_left")))
+    marked = attach(_null_safe(rows.withColumnRenamed("_source", "_of")), cuts, ["_source", "_none"])
+    # within that range: words before each key, then what each row of the key gets
+    cut = marked.where(F.col("_range") == F.col("_at")).groupBy("_source", "_none", "_key", "_left").agg(F.sum("size").alias("_words"), F.count("*").alias("_rows"))
+    before = F.sum("_words").over(Window.partitionBy("_source", "_none").orderBy("_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_words")
+    part = F.greatest(F.lit(0), F.least(F.col("_words"), F.col("_left") - before))
+    cut = cut.select("_source", "_none", "_key", F.floor(part / F.col("_rows")).alias("_part"))
+    out = attach(marked, stored(cut), ["_source", "_none", "_key"])
+    rest = F.when(F.col("_range") < F.coalesce("_at", F.lit(1 << 30)), F.col("size")).otherwise(F.coalesce("_part", F.lit(0)))
+    return out.select(F.col("_id").alias(doc_id), "size", F.col("_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_epochs") * F.col("size") + rest).cast("long").alias("taken"), *[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)])
+
+
+def _null_safe(rows: DataFrame) -> DataFrame:
+    """`_of` as two columns that equal each other also where it is null."""
+    return rows.withColumns({"_source": F.coalesce(F.col("_of"), F.lit("")), "_none": F.col("_of").isNull()}).drop("_of")

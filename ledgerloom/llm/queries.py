@@ -105,7 +105,7 @@ FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
 #: Source weights 3, 1, 2; 150 % of all sizes; 2 times a source's size.
 _OP5 = """
 WITH d AS (
-  SELECT doc_id, source, md5(CAST(doc_id AS VARCHAR)) AS k,
+  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '') || '/' || md5(coalesce(text, ''))) AS k,
          len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size
   FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
@@ -130,7 +130,25 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
 FROM e
 """
 
-#: The rules net/, example.net/en/, example.com/de/, org/fr/; the tree's parameters are TreeParams().
+#: Levels of a path that the SQL of op6 unrolls; deeper paths do not occur in the tables.
+_LEVELS = 8
+
+
+def _op6_levels() -> str:
+    """CTEs p1, p2, ...: distinct paths with all levels up to that generalised, each level seen under what the ones before became."""
+    out = ""
+    for i in range(_LEVELS):
+        out += f"""
+c{i} AS (SELECT host, done, rest[1] AS child, sum(n) AS n FROM p{i} WHERE len(rest) > 0 AND rest[1] <> '*' GROUP BY ALL),
+v{i} AS (SELECT host, done FROM c{i} GROUP BY host, done HAVING count(*) >= 24 AND sum(n) < 8.0 * count(*)),
+p{i + 1} AS (
+  SELECT p.host, p.seg, p.n, CASE WHEN len(p.rest) = 0 THEN p.done WHEN v.host IS NULL THEN p.done || '/' || p.rest[1] ELSE p.done || '/*' END AS done, p.rest[2:] AS rest
+  FROM p{i} p LEFT JOIN v{i} v ON p.host = v.host AND p.done = v.done),"""
+    return out
+
+
+#: The rules net/, example.net/en/, example.com/de/, org/fr/; 24 children with under 8 rows each make a position variable;
+#: 2 standard errors; 4 rows' worth of the host's share, and of 0.1 for that; 0.8.
 _OP6 = r"""
 WITH p AS (
   SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
@@ -142,23 +160,24 @@ r AS (
                  WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM p),
 s AS (
   SELECT *, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 1 WHEN rule IS NOT NULL THEN 0 END AS label,
-         list_transform(string_split(regexp_replace(path, '^/|/$', '', 'g'), '/'), lambda x: CASE WHEN regexp_matches(x, '@VARIABLE@') THEN '*' ELSE x END) AS seg FROM r),
-n AS (SELECT host, seg, count(*) AS n FROM s GROUP BY host, seg),
-x AS (SELECT host, seg, n, i, seg[i + 1] AS child, array_to_string(seg[1 : i], '/') AS prefix FROM (SELECT *, unnest(range(len(seg))) AS i FROM n)),
-c AS (SELECT host, i, prefix, child, sum(n) AS n FROM x WHERE child <> '*' GROUP BY host, i, prefix, child),
-v AS (SELECT host, i, prefix FROM c GROUP BY host, i, prefix HAVING count(*) >= 24 AND sum(n) < 8.0 * count(*)),
-t AS (SELECT x.host, x.seg, '/' || string_agg(CASE WHEN v.host IS NULL THEN x.child ELSE '*' END, '/' ORDER BY x.i) AS template
-      FROM x LEFT JOIN v ON x.host = v.host AND x.i = v.i AND x.prefix = v.prefix GROUP BY x.host, x.seg),
-u AS (SELECT s.*, t.template FROM s JOIN t ON s.host = t.host AND s.seg = t.seg),
+         string_split(regexp_replace(path, '^/|/$', '', 'g'), '/') AS raw FROM r),
+-- a segment varies by form if, without a suffix of up to five letters or digits, it is a number, eight hex digits or more, or has three digits in a row
+f0 AS (SELECT DISTINCT host, raw, list_transform(raw, lambda x: regexp_replace(x, '\.[a-z0-9]{1,5}$', '')) AS bare FROM s),
+f AS (SELECT host, raw, list_transform(range(1, len(raw) + 1), lambda i: CASE
+    WHEN regexp_full_match(bare[i], '[0-9]+') OR regexp_full_match(bare[i], '[0-9a-f]{8,}') OR regexp_full_match(bare[i], '[0-9a-f-]{32,}')
+      OR (regexp_matches(bare[i], '[0-9]{3}') AND NOT contains(bare[i], '.')) OR (regexp_matches(raw[i], '[0-9]{3}') AND NOT contains(raw[i], '.')) THEN '*' ELSE raw[i] END) AS seg FROM f0),
+g AS (SELECT s.*, f.seg FROM s JOIN f ON s.host = f.host AND s.raw = f.raw),
+p0 AS (SELECT host, seg, count(*) AS n, '' AS done, seg AS rest FROM g GROUP BY host, seg),@LEVELS@
+u AS (SELECT g.page_id, g.host, g.path, g.rule, g.label, t.done AS template FROM g JOIN p@LAST@ t ON g.host = t.host AND g.seg = t.seg),
 k AS (SELECT host, template, regexp_replace(template, '[^/*]+(/\**)*$', '?\1') AS parent, count(label) AS k, CAST(coalesce(sum(label), 0) AS BIGINT) AS bad FROM u GROUP BY host, template),
-f AS (SELECT *, sum(k) OVER (PARTITION BY host, parent) AS fk, sum(bad) OVER (PARTITION BY host, parent) AS fb, sum(k) OVER (PARTITION BY host) AS hk, sum(bad) OVER (PARTITION BY host) AS hb FROM k),
-g AS (SELECT *, CASE WHEN fk > 0 THEN CAST(fb AS DOUBLE) / fk ELSE 0.0 END AS pooled FROM f),
-a AS (SELECT *, k > 0 AND abs(CAST(bad AS DOUBLE) / greatest(k, 1) - pooled) <= 2.0 * sqrt(pooled * (1 - pooled) / greatest(k, 1)) AS alike FROM g),
+w AS (SELECT *, sum(k) OVER (PARTITION BY host, parent) AS fk, sum(bad) OVER (PARTITION BY host, parent) AS fb, sum(k) OVER (PARTITION BY host) AS hk, sum(bad) OVER (PARTITION BY host) AS hb FROM k),
+x AS (SELECT *, CASE WHEN fk > 0 THEN CAST(fb AS DOUBLE) / fk ELSE 0.0 END AS pooled FROM w),
+a AS (SELECT *, k > 0 AND abs(CAST(bad AS DOUBLE) / greatest(k, 1) - pooled) <= 2.0 * sqrt(pooled * (1 - pooled) / greatest(k, 1)) AS alike FROM x),
 j AS (SELECT host, template, CASE WHEN (CASE WHEN alike THEN fk ELSE k END) > 0
         AND ((CASE WHEN alike THEN fb ELSE bad END) + 4.0 * ((hb + 4.0 * 0.1) / (hk + 4.0))) / ((CASE WHEN alike THEN fk ELSE k END) + 4.0) >= 0.8 THEN 'block' ELSE 'allow' END AS judged FROM a)
 SELECT u.page_id, u.host, u.path, u.rule, CASE WHEN u.label = 1 THEN 'block' WHEN u.label = 0 THEN 'allow' ELSE j.judged END AS verdict
 FROM u JOIN j ON u.host = j.host AND u.template = j.template
-""".replace("@VARIABLE@", url_filter.VARIABLE)
+""".replace("@LEVELS@", _op6_levels()).replace("@LAST@", str(_LEVELS))
 
 _OP9 = """
 WITH v AS (
