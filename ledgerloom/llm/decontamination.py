@@ -1,20 +1,25 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, then exact shingle containment (operator 1).
 
+Shingles are compared by their 64-bit hashes, so containment is exact up to collisions of these.
+
 Only DataFrame functions. Documents are not sketched: an item's MinHash values are shingles of the item, so they are looked up
 among all shingles of a document, which makes short items findable in documents of any length.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerloom.llm.common import stored
+from ledgerloom.llm.common import stored, unused
 
 #: Words of a shingle (an item with fewer is one shingle of its own length), and the part of an item that must be found.
 SHINGLE, CONTAINMENT = 5, 0.75
-#: Rows up to which a table of items or of found documents is broadcast (16 to 40 bytes each); beyond, it is joined by a shuffle.
+#: Rows up to which a table of found documents, and of the item shingles of one pass, is broadcast (16 to 40 bytes each). More items
+#: take more passes; an item alone larger than a pass, and more found documents, are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 #: What separates words: everything but letters and digits, so case and punctuation do not hide an item.
 SEPARATOR = r"[^\p{L}\p{N}]+"
@@ -69,10 +74,18 @@ def _bounded(df: DataFrame, rows: int) -> DataFrame:
 def _held(docs: DataFrame, benchmark: DataFrame, item_id: str, item_text: str) -> DataFrame:
     """(_doc, _item, _n, _found) of rows (_doc, _text): the items of which the texts of one _doc together hold CONTAINMENT."""
     items = stored(item_shingles(benchmark, item_id, item_text))
-    sizes = {r._length: r.n for r in items.groupBy("_length").agg(F.count("*").alias("n")).collect()}
-    total = sum(sizes.values())
+    total = items.count()
     docs = docs.where(F.col("_text").isNotNull())
-    lengths = sorted(sizes)
+    passes = max(1, -(-2 * total // BROADCAST_ROWS) if total > BROADCAST_ROWS else 1)  # half full, so that uneven passes fit
+    of_pass = F.pmod(F.xxhash64("_item"), F.lit(passes))
+    parts = [_held_items(docs, items if passes == 1 else items.where(of_pass == p)) for p in range(passes)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _held_items(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The pairs of `_held` of some items."""
+    sizes = {r._length: r.n for r in items.groupBy("_length").agg(F.count("*").alias("n")).collect()}
+    total, lengths = sum(sizes.values()), sorted(sizes)
     sketch = items.where("_sketch").select("_item", "_h")
     near = stored(document_shingles(docs, lengths).join(_bounded(sketch, total), "_h").select("_doc", "_item").distinct())
     pairs = near.count()
@@ -98,9 +111,11 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id
 def remove_leaks(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows whose own text does not hold CONTAINMENT of an item's shingles, with all their columns.
 
-    Every row is judged by itself, also where ids are null or repeat: rows are told apart by id and hash of the text.
+    Every row is judged by itself, also where ids are null or repeat: rows are told apart by id and hash of the text. Rows without a
+    text stay; without documents none are returned, without items all; columns may have any name.
     """
     key = F.struct(F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("hash"))
     hits = _held(documents.select(key.alias("_doc"), F.col(text).alias("_text")), benchmark, item_id, item_text)
-    bad = stored(hits.select(F.col("_doc").alias("_bad")).distinct())
-    return documents.join(_bounded(bad, bad.count()), key.eqNullSafe(F.col("_bad")), "left_anti")
+    name = unused("_bad", documents)
+    bad = stored(hits.select(F.col("_doc").alias(name)).distinct())
+    return documents.join(_bounded(bad, bad.count()), key.eqNullSafe(F.col(name)), "left_anti")
