@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Words are maximal runs of anything but ASCII white space; bytes.split() cuts at the same places.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -24,10 +25,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: that of ``spark.checkpoint.dir``; only where none is set (tests) is one made here."""
+    """The folder that all executors share: that of ``spark.checkpoint.dir``. Only a local session may do without, as in tests."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="ledgerloom-"))
+        place = context.getConf().get("spark.checkpoint.dir")
+        if not place:
+            if not context.master.split("[")[0] == "local":
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            place = tempfile.mkdtemp(prefix="ledgerloom-")
+        context.setCheckpointDir(place)
     return context._jsc.sc().getCheckpointDir().get()
 
 
@@ -55,13 +61,16 @@ def release_memory() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound what a Python worker holds: Arrow batches are counted in rows, and texts can be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession) -> None:
+    """Bound what a Python worker holds: Arrow batches are counted in rows, and texts can be long. Never raises what the session has."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
 
 
-def map_texts(df: DataFrame, text: str, keep: list[str], function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """Run `function` over Arrow batches of the kept columns and `text` as bytes (column ``_text``)."""
+def map_texts(df: DataFrame, text: str, keep: list[str], function: Callable[[pa.RecordBatch], pa.RecordBatch], more: str) -> DataFrame:
+    """Run `function` over Arrow batches of the kept columns and `text` as bytes (column ``_text``); it returns the kept ones and `more`."""
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,7 +79,16 @@ def map_texts(df: DataFrame, text: str, keep: list[str], function: Callable[[pa.
                 yield function(batch)
         release_memory()
 
-    return df.select(*keep, F.col(text).cast("binary").alias("_text")).mapInArrow(run, schema)
+    rows = df.select(*keep, F.col(text).cast("binary").alias("_text"))
+    return rows.mapInArrow(run, StructType([*rows.schema.fields[:-1], *StructType.fromDDL(more).fields]))
+
+
+def unused(name: str, *frames: DataFrame) -> str:
+    """A name like the given one that no column of the frames has, whatever its case."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def crc_bucket(doc_id: str, mod: int):

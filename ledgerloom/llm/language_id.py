@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,8 +16,10 @@ from ledgerloom.llm.common import map_texts, small_batches
 
 #: Documents that each language is learned from at most, and the bytes after which no further one is taken.
 PER_LANGUAGE, LANGUAGE_BYTES = 400, 400 * 16384
-#: Bytes that contexts reach back; occurrences that make a context a node; bytes of the cost table at most.
-ORDER, NODE_COUNT, TABLE_BYTES = 3, 4, 12 << 20
+#: Bytes that contexts reach back; occurrences that make a context a node.
+ORDER, NODE_COUNT = 3, 4
+#: Bytes of the tables for each language, and for all at most. Where nodes would take more, they need more occurrences, with a warning.
+TABLE_BYTES, ALL_TABLES = 3 << 20, 96 << 20
 _CHUNK = 1 << 18
 
 
@@ -38,12 +41,13 @@ def has_letter(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Trees:
-    """symbols: class of each byte (0: never learned). contexts: three preceding classes -> node, the longest known suffix.
-    bits: language x (node, class) -> code length under that node, escapes included."""
+    """symbols: class of each byte (0: never learned). pairs: two preceding classes -> row of `contexts`, and row and third class
+    -> node, the longest known suffix. bits: language x (node, class) -> code length under that node, escapes included."""
 
     languages: list[str]
     symbols: np.ndarray
     width: int
+    pairs: np.ndarray
     contexts: np.ndarray
     bits: np.ndarray
 
@@ -64,8 +68,8 @@ class Trees:
                 for back in range(i + 1):
                     at = starts[(starts + back >= lo) & (starts + back < hi)] + back - lo
                     prev[i][at] = 0
-            code = (prev[2] * self.width + prev[1]) * self.width + prev[0]
-            key = self.contexts[code] * self.width + cur
+            row = self.pairs[prev[1] * self.width + prev[0]]
+            key = self.contexts[row * self.width + prev[2]] * self.width + cur
             first = np.searchsorted(offsets, lo, "right") - 1
             last = np.searchsorted(offsets, hi, "left")
             edges = np.clip(offsets[first:last], lo, hi) - lo
@@ -76,8 +80,8 @@ class Trees:
         return out
 
 
-def learn(samples: list[tuple[str, bytes]]) -> Trees | None:
-    """Trees of every language from (language, text) pairs; frequencies stay as learned."""
+def learn(samples: list[tuple[str, bytes]], table_bytes: int | None = None) -> Trees | None:
+    """Trees of every language from (language, text) pairs; frequencies stay as learned. The tables of all take `table_bytes` at most."""
     if not samples:
         return None
     languages = sorted({x for x, _ in samples})
@@ -96,21 +100,29 @@ def learn(samples: list[tuple[str, bytes]]) -> Trees | None:
         who.append(np.full(len(text), languages.index(name), np.int32))
     back, now, whose = [np.concatenate(p) for p in prev], np.concatenate(cur), np.concatenate(who)
     codes = [np.zeros_like(now), back[0], back[1] * width + back[0], (back[2] * width + back[1]) * width + back[0]]
-    least = NODE_COUNT
+    least, room = NODE_COUNT, table_bytes or min(ALL_TABLES, TABLE_BYTES * max(4, len(languages)))
     while True:
         nodes = []
         for order in range(ORDER + 1):
             u, n = np.unique(codes[order], return_counts=True)
             nodes.append(u[n >= least].astype(np.int64) if order else np.zeros(1, np.int64))
-        if sum(map(len, nodes)) * width * len(languages) * 4 <= TABLE_BYTES or least > 1 << 20:
+        if (sum(map(len, nodes)) * len(languages) + len(nodes[2]) + 2 * width) * width * 4 <= room or least > 1 << 20:
             break
         least *= 2
+    if least > NODE_COUNT:
+        warnings.warn(f"contexts need {least} occurrences to be nodes, not {NODE_COUNT}: the tables of {len(languages)} languages would take more than {room} bytes", stacklevel=2)
     base = np.concatenate([[0], np.cumsum([len(x) for x in nodes])])
     bits = np.zeros((len(languages), base[-1], width), np.float32)
-    row = [np.zeros(width**o, np.int32) for o in range(ORDER + 1)]
-    for order in range(1, ORDER + 1):
-        row[order] = np.tile(row[order - 1], width)  # the oldest symbol is the most significant
-        row[order][nodes[order]] = base[order] + np.arange(len(nodes[order]))
+    one = np.zeros(width, np.int32)
+    one[nodes[1]] = base[1] + np.arange(len(nodes[1]))
+    two = np.tile(one, width)  # the oldest symbol is the most significant
+    two[nodes[2]] = base[2] + np.arange(len(nodes[2]))
+    row = [np.zeros(1, np.int32), one, two]
+    # a row for each last symbol, where no longer context is known, and one for each known pair; a known triple ends with a known pair
+    pairs = np.tile(np.arange(width, dtype=np.int32), width)
+    pairs[nodes[2]] = width + np.arange(len(nodes[2]))
+    contexts = np.repeat(np.concatenate([one, two[nodes[2]]])[:, None], width, axis=1)
+    contexts[pairs[nodes[3] % width**2], nodes[3] // width**2] = base[3] + np.arange(len(nodes[3]))
     for n in range(len(languages)):
         mine = whose == n
         for order in range(ORDER + 1):
@@ -128,7 +140,7 @@ def learn(samples: list[tuple[str, bytes]]) -> Trees | None:
                 own = -np.log2(counts / (total + kinds))
                 escape = -np.log2(kinds / (total + kinds)) + below
             bits[n, base[order] : base[order + 1]] = np.where(total == 0, below, np.where(counts > 0, own, escape))
-    return Trees(languages, symbols, width, row[ORDER], bits.reshape(len(languages), -1))
+    return Trees(languages, symbols, width, pairs, contexts.reshape(-1).astype(np.int32), bits.reshape(len(languages), -1))
 
 
 def training_sample(documents: DataFrame, learn_from: Column, doc_id: str, text: str, lang: str) -> list[tuple[str, bytes]]:
@@ -138,7 +150,7 @@ def training_sample(documents: DataFrame, learn_from: Column, doc_id: str, text:
     are larger come last, so they are taken only where the others are too few, and every language with a text is learned.
     """
     key = F.xxhash64(F.col(doc_id), F.col(text)).alias("_h")
-    pool = documents.where(learn_from & F.col(lang).isNotNull() & (F.octet_length(text) > 0)).select(F.col(lang).alias("_lang"), key, F.col(text).cast("binary").alias("_bytes"))
+    pool = documents.where(learn_from & F.col(lang).isNotNull() & (F.octet_length(text) > 0)).select(F.col(lang).cast("string").alias("_lang"), key, F.col(text).cast("binary").alias("_bytes"))
     counts = {r[0]: r[1] for r in pool.groupBy("_lang").agg(F.approx_count_distinct("_h")).collect()}
     if not counts:
         return []
@@ -149,8 +161,7 @@ def training_sample(documents: DataFrame, learn_from: Column, doc_id: str, text:
     before = F.coalesce(F.sum("_size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranked = drawn.groupBy("_lang", "_h").agg(F.max("_size").alias("_size")).withColumns({"_rank": F.row_number().over(order), "_before": before})
     chosen = ranked.where((F.col("_rank") <= PER_LANGUAGE) & (F.col("_before") < LANGUAGE_BYTES)).select("_lang", "_h").collect()
-    kind = pool.schema["_lang"].dataType.simpleString()
-    wanted = documents.sparkSession.createDataFrame([tuple(r) for r in chosen], f"_lang {kind}, _h long")
+    wanted = documents.sparkSession.createDataFrame([tuple(r) for r in chosen], "_lang string, _h long")
     rows = pool.join(F.broadcast(wanted), ["_lang", "_h"]).select("_lang", "_h", "_bytes")
     small_batches(documents.sparkSession)
     once = rows.mapInArrow(_first_of_each, rows.schema).dropDuplicates(["_lang", "_h"])
@@ -174,7 +185,8 @@ def identify(documents: DataFrame, learn_from: Column, doc_id: str = "doc_id", t
     """doc_id, lang_pred, score for every row; whole texts are coded.
 
     The language with the shortest code wins, ties to the smaller name; score is its share of the likelihood. Texts that are
-    null or have no letter get `und` and 0.0, and so does everything if nothing can be learned. Only `text` decides.
+    null or have no letter get `und` and 0.0, and so does everything if nothing can be learned. Only `text` decides: repeated rows get
+    the same answer, very long texts are coded piece by piece, an empty table gives none, and other columns of any name are not read.
     """
     trees = learn(training_sample(documents, learn_from, doc_id, text, lang))
     shared = documents.sparkSession.sparkContext.broadcast(trees)
@@ -193,9 +205,8 @@ def identify(documents: DataFrame, learn_from: Column, doc_id: str = "doc_id", t
             score = np.where(letters, share, 0.0)
         return pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(named, pa.string()), pa.array(score, pa.float64())], names=["_id", "lang_pred", "score"])
 
-    kind = documents.schema[doc_id].dataType.simpleString()
     rows = documents.select(F.col(doc_id).alias("_id"), F.col(text).alias("_t"))
-    return map_texts(rows, "_t", ["_id"], run, f"_id {kind}, lang_pred string, score double").withColumnRenamed("_id", doc_id)
+    return map_texts(rows, "_t", ["_id"], run, "lang_pred string, score double").withColumnRenamed("_id", doc_id)
 
 
 def flat_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -148,31 +148,35 @@ def boost(x: np.ndarray, y: np.ndarray) -> Forest:
 
 def labelled_ids(labels: DataFrame, label: str, doc_id: str, rows: int) -> DataFrame:
     """(_label_id, _y) for at most about `rows` hash-chosen ids of the labels; of several labels of an id the largest counts."""
-    known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull())
+    known = labels.select(F.col(doc_id).alias("_label_id"), F.col(label).cast("int").alias("_y")).where("_label_id IS NOT NULL AND _y IS NOT NULL").groupBy("_label_id").agg(F.max("_y").alias("_y"))
     n = known.count()
-    if n > rows:
-        known = known.where(F.pmod(F.xxhash64(F.col(doc_id)), F.lit(1 << 20)) < int(rows / n * (1 << 20)))
-    return known.groupBy(F.col(doc_id).alias("_label_id")).agg(F.max(F.col(label)).cast("int").alias("_y"))
+    return known if n <= rows else known.where(F.pmod(F.xxhash64("_label_id"), F.lit(1 << 20)) < int(rows / n * (1 << 20)))
+
+
+def labelled_texts(documents: DataFrame, ids: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(_label_id, _y, _t): one text for each of the ids; of several, null apart, that of least hash."""
+    rows = documents.select(F.col(doc_id).alias("_of"), F.col(text).alias("_t")).where("_t IS NOT NULL")
+    rows = rows.join(F.broadcast(ids), F.col("_of") == F.col("_label_id"))  # about TRAIN_ROWS ids at most
+    return rows.groupBy("_label_id", "_y").agg(F.min_by("_t", F.xxhash64("_t")).alias("_t"))
 
 
 def learn(documents: DataFrame, labels: DataFrame, learn_from: Column, doc_id: str, text: str, label: str) -> Forest:
-    ids = labelled_ids(labels.where(learn_from), label, doc_id, TRAIN_ROWS)
-    rows = documents.join(F.broadcast(ids), documents[doc_id] == ids["_label_id"])  # at most TRAIN_ROWS ids
+    rows = labelled_texts(documents, labelled_ids(labels.where(learn_from), label, doc_id, TRAIN_ROWS), doc_id, text)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         x = statistics(*flat_bytes(batch.column("_text")))
         return pa.RecordBatch.from_arrays([batch.column("_label_id"), batch.column("_y"), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["_label_id", "_y", "x"])
 
-    got = map_texts(rows.select("_label_id", "_y", F.col(text).alias("_t")), "_t", ["_label_id", "_y"], run, "_label_id long, _y int, x array<double>").collect()
-    got = sorted((r[0], r[1], r[2]) for r in got)
-    return boost(np.array([r[2] for r in got]).reshape(len(got), len(STATISTICS)), np.array([r[1] for r in got], float))
+    got = map_texts(rows, "_t", ["_label_id", "_y"], run, "x array<double>").orderBy("_label_id").collect()
+    return boost(np.array([r.x for r in got]).reshape(len(got), len(STATISTICS)), np.array([r._y for r in got], float))
 
 
 def score_quality(documents: DataFrame, labels: DataFrame, learn_from: Column, doc_id: str = "doc_id", text: str = "text", label: str = "quality", threshold: float = 0.3) -> DataFrame:
     """doc_id, score, predicted for every row, from statistics of the whole text alone.
 
-    `learn_from` chooses the label rows that may be learned from, of which at most TRAIN_ROWS are. Null texts count as empty, and
-    empty texts are scored like others; without labels every score is 0.5. Repeated rows get the same score.
+    `learn_from` chooses the label rows that may be learned from, of which at most about TRAIN_ROWS are, each with one text. Null texts
+    count as empty, and empty texts are scored like others; without labels every score is 0.5. Repeated rows get the same score; ids
+    may be of any type, and other columns of any name are not read.
     """
     shared = documents.sparkSession.sparkContext.broadcast(learn(documents, labels, learn_from, doc_id, text, label))
 
@@ -180,5 +184,4 @@ def score_quality(documents: DataFrame, labels: DataFrame, learn_from: Column, d
         score = shared.value.score(statistics(*flat_bytes(batch.column("_text"))))
         return pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32), pa.int32())], names=["_id", "score", "predicted"])
 
-    kind = documents.schema[doc_id].dataType.simpleString()
-    return map_texts(documents.select(F.col(doc_id).alias("_id"), F.col(text).alias("_t")), "_t", ["_id"], run, f"_id {kind}, score double, predicted int").withColumnRenamed("_id", doc_id)
+    return map_texts(documents.select(F.col(doc_id).alias("_id"), F.col(text).alias("_t")), "_t", ["_id"], run, "score double, predicted int").withColumnRenamed("_id", doc_id)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.common import map_texts
 
 MODEL = "piece_bpe_32k.model"
-#: Rows sampled for the frequent tier, its entries, and a worker's cache entries. They bound memory; no count depends on them.
+#: Rows sampled over all partitions for the frequent tier, its entries, and a worker's cache entries. They bound memory; no count depends on them.
 SAMPLE_ROWS, FREQUENT, CACHE = 2000, 50_000, 300_000
 #: No piece has a space after another character, so merges never cross such a place: a text is these runs, counted apart.
 _PRETOKEN = re.compile(" *[^ ]+| +$")
@@ -79,10 +79,11 @@ def worker_counts(path: str, shared) -> Counts:
 
 
 def frequent_lengths(documents: DataFrame, text: str, path: str, rows: int = SAMPLE_ROWS, entries: int = FREQUENT) -> dict[str, int]:
-    """Lengths of the most frequent pre-tokens of at most `rows` sampled documents of at most 16 KB."""
-    short = documents.where(F.octet_length(text).between(1, 16384)).select(F.col(text).alias("t"), F.xxhash64(text).alias("h"))
+    """Lengths of the most frequent pre-tokens of about `rows` documents, drawn from all partitions; of a long one, its first 16 KB."""
+    n = documents.count()
+    drawn = documents.select(F.substring(F.col(text), 1, 16384).alias("t")).sample(min(1.0, rows / max(n, 1)), seed=7).where("t != ''")
     seen: Counter[str] = Counter()
-    for row in short.where("pmod(h, 16) = 0").limit(rows).collect():
+    for row in drawn.collect():  # about `rows` texts of 16 KB at most
         seen.update(pre_tokens(row.t))
     model = _load(path)
     return {run: encode_length(model, run) for run, _ in seen.most_common(entries) if len(run) <= _LONGEST_KEPT}
@@ -95,6 +96,7 @@ def count_tokens(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
     """
     path = path or public_tokenizers.path(MODEL)
     shared = documents.sparkSession.sparkContext.broadcast(frequent_lengths(documents, text, path))
+
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         counts = worker_counts(path, shared)
         raw = batch.column("_text").to_pylist()
@@ -102,6 +104,5 @@ def count_tokens(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
         sizes = [len(x) if x else 0 for x in raw]
         return pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_())], names=["_id", "n_bytes", "n_tokens", "over_limit"])
 
-    kind = documents.schema[doc_id].dataType.simpleString()
-    out = map_texts(documents.select(F.col(doc_id).alias("_id"), F.col(text).alias("_t")), "_t", ["_id"], run, f"_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    out = map_texts(documents.select(F.col(doc_id).alias("_id"), F.col(text).alias("_t")), "_t", ["_id"], run, "n_bytes long, n_tokens long, over_limit boolean")
     return out.withColumnRenamed("_id", doc_id)

@@ -8,23 +8,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ledgerloom.llm.common import map_texts
 from ledgerloom.llm.language_id import flat_bytes, fold
-from ledgerloom.llm.quality import labelled_ids
+from ledgerloom.llm.quality import labelled_ids, labelled_texts
 from ledgerloom.llm.text_hash import ALNUM, hashes, spans
 
-#: Labelled documents that are learned from at most, and the largest in bytes.
-TRAIN_ROWS, LARGEST = 4_000, 8_192
+#: Labelled documents that are learned from at most, and the bytes after which no further one is taken.
+TRAIN_ROWS, TRAIN_BYTES = 4_000, 8 << 20
 #: Words of a window, and words from one window to the next: each word but the first few is scored in two windows.
 WINDOW, STEP = 16, 8
-#: Units of each direction, of the attention, of a character n-gram's embedding; hash buckets of character trigrams.
-HIDDEN, ATTEND, CHARS, BUCKETS = 8, 8, 6, 2048
-#: Leading bytes of a word whose evidence is an input beside that of the whole word.
-PREFIXES = (4, 5, 6, 7, 8)
-_INPUTS = 1 + len(PREFIXES) + CHARS
+#: Units of each direction, of the attention; dimensions of a word's and of a character trigram's embedding; hash buckets of trigrams.
+HIDDEN, ATTEND, WORDS, CHARS, BUCKETS = 8, 8, 8, 6, 4096
+#: Learned texts that have a word, from which it has an embedding of its own; part of the words that are hidden while learning.
+LEAST_TEXTS, DROPPED = 6, 0.3
+_INPUTS = WORDS + CHARS
 _ROWS = 2048
-_PRIOR = 4.0
 
 
 @dataclass
@@ -33,7 +33,7 @@ class Words:
 
     first: np.ndarray
     index: np.ndarray
-    keys: np.ndarray  # distinct x (1 + PREFIXES), hashes; 0 where the word is no longer than the prefix
+    keys: np.ndarray  # hashes of the distinct words
     grams: np.ndarray  # trigram buckets of the distinct words, word after word
     begin: np.ndarray
 
@@ -48,11 +48,6 @@ def read_words(buf: np.ndarray, offsets: np.ndarray) -> Words:
     back = np.empty(len(order), np.int64)
     back[order] = np.arange(len(order))
     a, b = starts[at], stops[at]
-    table = np.zeros((len(at), 1 + len(PREFIXES)), np.uint64)
-    table[:, 0] = keys
-    for j, n in enumerate(PREFIXES):
-        longer = b - a >= n
-        table[longer, 1 + j] = hashes(buf, a[longer], a[longer] + n) + np.uint64(n)
     size = b - a + 2  # trigrams of the word between two marks
     begin = np.concatenate([[0], np.cumsum(size - 2)])
     place = np.repeat(a - begin[:-1], size - 2) + np.arange(begin[-1])
@@ -62,7 +57,7 @@ def read_words(buf: np.ndarray, offsets: np.ndarray) -> Words:
     before = np.where(place > a[whose], padded[place], 0).astype(np.uint32)
     after = np.where(place < b[whose] - 1, padded[place + 2], 0).astype(np.uint32)
     grams = ((before * np.uint32(257) + padded[place + 1]) * np.uint32(257) + after) * np.uint32(0x9E3779B1) >> np.uint32(32 - BUCKETS.bit_length() + 1)
-    return Words(first, back[index.reshape(-1)].astype(np.int32), table, grams.astype(np.int32), begin)
+    return Words(first, back[index.reshape(-1)].astype(np.int32), keys, grams.astype(np.int32), begin)
 
 
 def window_starts(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -78,11 +73,14 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class Network:
-    """inputs -> GRU in both directions -> attention over the words -> one logit a window."""
+    """Words and their trigrams -> embeddings -> GRU in both directions -> attention over the words -> one logit a window.
 
-    def __init__(self, seed: int = 7):
+    V holds an embedding for each word of the vocabulary, after that of all other words; E one for each bucket of trigrams.
+    """
+
+    def __init__(self, seed: int = 7, vocabulary: int = 0):
         r = np.random.default_rng(seed)
-        shape = {"E": (BUCKETS, CHARS), "A": (2 * HIDDEN, ATTEND), "v": (ATTEND,), "w": (2 * HIDDEN,), "b": (1,)}
+        shape = {"V": (1 + vocabulary, WORDS), "E": (BUCKETS, CHARS), "A": (2 * HIDDEN, ATTEND), "v": (ATTEND,), "w": (2 * HIDDEN,), "b": (1,)}
         for d in "fb":
             shape |= {f"W{d}": (_INPUTS, 3 * HIDDEN), f"U{d}": (HIDDEN, 3 * HIDDEN), f"c{d}": (3 * HIDDEN,)}
         self.p = {k: (r.normal(0, 0.3 if k[0] in "WUA" else 0.1, s) if len(s) > 1 or k in "vw" else np.zeros(s)).astype(np.float32) for k, s in shape.items()}
@@ -161,20 +159,20 @@ class Network:
 @dataclass
 class Model:
     network: Network
-    keys: np.ndarray  # sorted hashes of words and prefixes
-    evidence: np.ndarray  # log odds of each
+    keys: np.ndarray  # sorted hashes of the words of the vocabulary
     scale: tuple[float, float]  # document score = sigmoid(scale[0] * largest window logit + scale[1])
 
     def look_up(self, keys: np.ndarray) -> np.ndarray:
+        """Rows of V."""
         if not len(self.keys):
-            return np.zeros(keys.shape, np.float32)
+            return np.zeros(len(keys), np.int64)
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where((self.keys[at] == keys) & (keys != 0), self.evidence[at], np.float32(0))
+        return np.where(self.keys[at] == keys, at + 1, 0)
 
     def window_logits(self, words: Words, starts: np.ndarray, text: np.ndarray) -> np.ndarray:
         """Logits of windows: what is the same for all places of a word is computed once per distinct word."""
         p = self.network.p
-        x = np.concatenate([self.look_up(words.keys), self.network.embed(words.grams, words.begin)], axis=1)
+        x = np.concatenate([p["V"][self.look_up(words.keys)], self.network.embed(words.grams, words.begin)], axis=1)
         f, b = x @ p["Wf"] + p["cf"], x @ p["Wb"] + p["cb"]
         out = np.empty(len(starts), np.float32)
         for lo in range(0, len(starts), _ROWS):
@@ -196,54 +194,67 @@ class Model:
         return -8.0  # the logit of a text without words
 
 
-def learn(samples: list[tuple[int, bytes]], rounds: int = 3, steps: int = 300) -> Model:
-    """From (label, text): evidence of words and prefixes, then the network on the most suspicious windows of each text.
-
-    A text's own label is taken out of the evidence that it is trained on. Each round chooses windows anew: the first by evidence
-    alone, the next by the network: of a toxic text the worst one, of a clean text the worst ones and a random one.
+def word_weights(text: np.ndarray, word: np.ndarray, y: np.ndarray, n: int, rounds: int = 150, penalty: float = 2e-4) -> np.ndarray:
+    """Weights of n words by logistic regression of the texts' labels on the words that they have (pairs text, word), kept sparse by a
+    penalty on their size (accelerated proximal gradient). Where the first coordinate of the embeddings starts."""
+    balance = np.where(y > 0, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9)) / len(y)
+    width = np.sqrt(np.maximum(np.bincount(text, minlength=len(y)), 1))
+    weight, bias, ahead, t = np.zeros(n), 0.0, np.zeros(n), 1.0
+    for _ in range(rounds):
+        margin = np.bincount(text, ahead[word], len(y)) / width + bias
+        slope = balance * (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y)
+        step = ahead - 20.0 * np.bincount(word, (slope / width)[text], n)
+        new = np.sign(step) * np.maximum(np.abs(step) - 20.0 * penalty, 0)
+        bias -= 2.0 * slope.sum()
+        t, before = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
+        ahead, weight = new + (before - 1) / t * (new - weight), new
+    return weight
+
+
+def learn(samples: list[tuple[int, bytes]], rounds: int = 2, steps: int = 250) -> Model:
+    """From (label, text): embeddings and network, on the most suspicious windows of each text.
+
+    Words that LEAST_TEXTS have get embeddings, whose first coordinate starts as the word's weight in a sparse regression on whole
+    texts; from then on all are learned with the network. Each round chooses windows anew, the first by these weights, the next by the
+    network: of a toxic text the worst one, of a clean text the worst ones and a random one. Hidden words make it use characters, too.
     """
-    empty = Model(Network(), np.zeros(0, np.uint64), np.zeros(0, np.float32), (1.0, 0.0))
     y = np.array([s[0] for s in samples], np.float32)
+    nothing = np.zeros(0, np.uint64)
     if not len(y) or y.min() == y.max():
-        return Model(empty.network, empty.keys, empty.evidence, (0.0, -4.0 if not len(y) or y.max() < 1 else 4.0))
+        return Model(Network(), nothing, (0.0, -4.0 if not len(y) or y.max() < 1 else 4.0))
     texts = [np.frombuffer(t, np.uint8) for _, t in samples]
     words = read_words(np.concatenate(texts), np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
+    del texts
     doc = np.repeat(np.arange(len(y)), np.diff(words.first))
-    base = float(y.mean())
-    # how many toxic and clean texts have each word and prefix
-    of_word = np.unique(doc * len(words.keys) + words.index)
-    keys, place = np.unique(words.keys, return_inverse=True)
-    place = place.reshape(words.keys.shape).astype(np.int32)
-    toxic, clean = np.zeros(len(keys)), np.zeros(len(keys))
-    for j in range(place.shape[1]):  # hashes of words and of each length of prefix differ
-        pairs = np.unique(of_word // len(words.keys) * len(keys) + place[of_word % len(words.keys), j])
-        toxic += np.bincount(pairs % len(keys), y[pairs // len(keys)], len(keys))
-        clean += np.bincount(pairs % len(keys), 1 - y[pairs // len(keys)], len(keys))
-    del of_word, doc, pairs
-    odds = lambda a, b: (np.log((a + _PRIOR * base) / (b + _PRIOR * (1 - base))) - np.log(base / (1 - base))).astype(np.float32) / 3
-    kept = (toxic + clean >= 3) & (keys != 0)
-    network = Network()
-    model = Model(network, keys[kept], odds(toxic, clean)[kept], (1.0, 0.0))
+    pairs = np.unique(doc * len(words.keys) + words.index)
+    del doc
+    known = np.bincount(pairs % len(words.keys), minlength=len(words.keys)) >= LEAST_TEXTS
+    order = np.flatnonzero(known)[np.argsort(words.keys[known])]
+    row = np.zeros(len(words.keys), np.int64)  # of V, for each distinct word
+    row[order] = 1 + np.arange(len(order))
+    network = Network(vocabulary=len(order))
+    model = Model(network, words.keys[order], (1.0, 0.0))
+    pairs = pairs[known[pairs % len(words.keys)]]
+    weights = word_weights(pairs // len(words.keys), row[pairs % len(words.keys)] - 1, y, len(order))
+    del pairs
+    network.p["V"][1:, 0] = weights / max(np.abs(weights).max(initial=0), 1e-6)
     starts, text = window_starts(words.first)
-    known = kept & (keys != 0)
-
-    def evidence(at: np.ndarray, owner: np.ndarray) -> np.ndarray:
-        """Evidence of distinct words `at` as seen from texts `owner`, without these texts' own labels."""
-        k = place[at]
-        own = y[owner][..., None]
-        seen = odds(np.maximum(toxic[k] - own, 0), np.maximum(clean[k] - (1 - own), 0))
-        return np.where(known[k], seen, np.float32(0))
-
-    rough = np.zeros(len(starts), np.float32)
-    cut = 1 << 12
-    for lo in range(0, len(starts), cut):
-        at = starts[lo : lo + cut, None] + np.arange(WINDOW)
-        inside = at < words.first[text[lo : lo + cut] + 1][:, None]
-        seen = evidence(words.index[np.minimum(at, len(words.index) - 1)], np.broadcast_to(text[lo : lo + cut, None], at.shape))
-        rough[lo : lo + cut] = (seen.max(axis=2) * inside).max(axis=1)
+    if not len(starts):
+        return Model(network, model.keys, (0.0, float(np.log(y.mean() / (1 - y.mean())))))
+
+    def places(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct words (steps x rows) of windows, and which of them are in the window's text."""
+        at = (starts[rows, None] + np.arange(WINDOW)).T
+        return words.index[np.minimum(at, len(words.index) - 1)], (at < words.first[text[rows] + 1]).astype(np.float32)
+
+    suspicion = np.empty(len(starts), np.float32)
+    for lo in range(0, len(starts), 8 * _ROWS):
+        rows = np.arange(lo, min(lo + 8 * _ROWS, len(starts)))
+        place, mask = places(rows)
+        suspicion[rows] = np.where(mask > 0, network.p["V"][row[place], 0], -9).max(axis=0)
     r = np.random.default_rng(11)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in network.p.items()}
-    step, suspicion = 0, rough
+    step = 0
     for turn in range(rounds):
         order = np.lexsort((-suspicion, text))
         rank = np.arange(len(order)) - np.searchsorted(text[order], text[order])
@@ -252,22 +263,21 @@ def learn(samples: list[tuple[int, bytes]], rounds: int = 3, steps: int = 300) -
         chosen = np.concatenate([chosen, spare[y[text[spare]] == 0]])
         label = y[text[chosen]]
         weight = np.where(label > 0, max(1.0, 0.5 * (label == 0).sum() / max((label > 0).sum(), 1)), 1.0).astype(np.float32)
-        for _ in range(max(3, min(30, steps * 512 // len(chosen)))):
+        for _ in range(max(3, min(100, steps * 512 // len(chosen)))):
             mixed = r.permutation(len(chosen))
             for lo in range(0, len(mixed), 512):
                 rows = chosen[mixed[lo : lo + 512]]
-                at = (starts[rows, None] + np.arange(WINDOW)).T
-                mask = (at < words.first[text[rows] + 1]).astype(np.float32)
-                place_of = words.index[np.minimum(at, len(words.index) - 1)]
-                u, back = np.unique(place_of, return_inverse=True)
-                back = back.reshape(place_of.shape)
+                place, mask = places(rows)
+                u, back = np.unique(place, return_inverse=True)
+                back = back.reshape(place.shape)
                 n = words.begin[u + 1] - words.begin[u]
                 begin = np.concatenate([[0], np.cumsum(n)])
                 grams = words.grams[np.repeat(words.begin[u] - begin[:-1], n) + np.arange(begin[-1])]
-                x = np.concatenate([evidence(place_of, np.broadcast_to(text[rows], at.shape)), network.embed(grams, begin)[back]], axis=2)
+                seen = np.where(r.random(place.shape) < DROPPED, 0, row[place])
+                x = np.concatenate([network.p["V"][seen], network.embed(grams, begin)[back]], axis=2)
                 g, dx = network.gradient(x, mask, y[text[rows]], weight[mixed[lo : lo + 512]])
-                de = np.zeros((len(u), CHARS))
-                np.add.at(de, back.reshape(-1), dx[:, :, -CHARS:].reshape(-1, CHARS))
+                g["V"] = np.stack([np.bincount(seen.reshape(-1), dx[:, :, j].reshape(-1), len(network.p["V"])) for j in range(WORDS)], axis=1)
+                de = np.stack([np.bincount(back.reshape(-1), dx[:, :, WORDS + j].reshape(-1), len(u)) for j in range(CHARS)], axis=1)
                 de = np.repeat(de / n[:, None], n, axis=0)
                 g["E"] = np.stack([np.bincount(grams, de[:, j], BUCKETS) for j in range(CHARS)], axis=1)
                 step += 1
@@ -276,15 +286,7 @@ def learn(samples: list[tuple[int, bytes]], rounds: int = 3, steps: int = 300) -
                     m += 0.1 * (g[name] - m)
                     v += 0.001 * (g[name] ** 2 - v)
                     value -= (0.01 * (0.5**turn) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
-        # windows as the network sees them without the text's own label
-        suspicion = np.empty(len(starts), np.float32)
-        chars = network.embed(words.grams, words.begin)
-        for lo in range(0, len(starts), _ROWS):
-            at = (starts[lo : lo + _ROWS, None] + np.arange(WINDOW)).T
-            mask = (at < words.first[text[lo : lo + _ROWS] + 1]).astype(np.float32)
-            place_of = words.index[np.minimum(at, len(words.index) - 1)]
-            x = np.concatenate([evidence(place_of, np.broadcast_to(text[lo : lo + _ROWS], at.shape)), chars[place_of]], axis=2)
-            suspicion[lo : lo + _ROWS] = network.forward(x @ network.p["Wf"] + network.p["cf"], x @ network.p["Wb"] + network.p["cb"], mask)
+        suspicion = model.window_logits(words, starts, text)
     most = np.full(len(y), Model.floor())
     np.maximum.at(most, text, suspicion)
     a, b = 1.0, 0.0
@@ -299,11 +301,21 @@ def learn(samples: list[tuple[int, bytes]], rounds: int = 3, steps: int = 300) -
 
 
 def training_sample(documents: DataFrame, labels: DataFrame, learn_from: Column, doc_id: str, text: str, label: str) -> list[tuple[int, bytes]]:
-    """At most about TRAIN_ROWS hash-chosen labelled texts of at most LARGEST bytes."""
-    ids = labelled_ids(labels.where(learn_from), label, doc_id, TRAIN_ROWS)
-    rows = documents.where(F.octet_length(text) <= LARGEST).join(F.broadcast(ids), F.col(doc_id) == F.col("_label_id"))  # at most TRAIN_ROWS ids
-    got = rows.select("_label_id", "_y", F.col(text).cast("binary").alias("_t")).collect()
-    return [(int(r[1] > 0), bytes(r[2])) for r in sorted(got, key=lambda r: (r[0], r[1], r[2]))]
+    """At most about TRAIN_ROWS hash-chosen labelled texts, whole and of any length, one an id, until they have TRAIN_BYTES.
+
+    Texts that alone are larger come last, and the smallest of them first, so they are taken only where the others are too few.
+    """
+    rows = labelled_texts(documents, labelled_ids(labels.where(learn_from), label, doc_id, TRAIN_ROWS), doc_id, text).where(F.octet_length("_t") > 0)
+    size, draw = F.octet_length("_t").cast("long").alias("_size"), F.xxhash64("_label_id", F.lit(3)).alias("_draw")
+    found = rows.select("_label_id", "_y", size, draw).collect()  # about TRAIN_ROWS
+    kept, total = [], 0
+    for x in sorted(found, key=lambda x: (x["_size"] > TRAIN_BYTES, x["_size"] if x["_size"] > TRAIN_BYTES else 0, x["_draw"])):
+        if total < TRAIN_BYTES or len({k["_y"] > 0 for k in kept}) < 2 and (x["_y"] > 0) not in {k["_y"] > 0 for k in kept}:  # one of either label at least
+            kept.append(x)
+            total += x["_size"]
+    chosen = documents.sparkSession.createDataFrame([(x["_label_id"],) for x in kept], StructType([rows.schema["_label_id"]]))
+    got = rows.join(F.broadcast(chosen), "_label_id").select("_y", F.col("_t").cast("binary").alias("_t")).collect()
+    return sorted((int(r["_y"] > 0), bytes(r["_t"])) for r in got)
 
 
 def train(documents: DataFrame, labels: DataFrame, learn_from: Column, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
@@ -315,7 +327,7 @@ def apply(documents: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id"
     """`carry` columns, score, predicted for every row: the worst of all overlapping windows of the whole text decides.
 
     Null texts count as empty; texts without words get the lowest score; a model of one kind of label gives all rows one score.
-    Repeated rows get the same score.
+    Repeated rows get the same score; an empty table gives none; carried columns may have any name and type.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
@@ -323,7 +335,6 @@ def apply(documents: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id"
         score = shared.value.score(*flat_bytes(batch.column("_text")))
         return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32), pa.int32())], names=[*batch.schema.names[:-1], "_score", "_predicted"])
 
-    kinds = ", ".join(f"_k{i} {documents.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
     rows = documents.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(carry)], F.col(text).alias("_t"))
-    out = map_texts(rows, "_t", [f"_k{i}" for i in range(len(carry))], run, f"{kinds}, _score double, _predicted int")
+    out = map_texts(rows, "_t", [f"_k{i}" for i in range(len(carry))], run, "_score double, _predicted int")
     return out.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(carry)], F.col("_score").alias("score"), F.col("_predicted").alias("predicted"))
