@@ -73,7 +73,7 @@ t AS (SELECT *, uncached_input_tokens + cache_read_input_tokens + cache_write_5m
 _SEQ = "occurred_at, file_key, model, uncached_input_tokens, cache_read_input_tokens, cache_write_5m_input_tokens, output_tokens"
 _SEQ_DESC = ", ".join(f"{c} DESC" for c in _SEQ.split(", "))
 _FACTS = _ENTRIES + f""",
-u AS (
+u AS MATERIALIZED (
   SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY source, dedup_key ORDER BY total DESC, {_SEQ}) AS r FROM t WHERE source <> 'pi') WHERE r = 1
   UNION ALL
   SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY source, dedup_key ORDER BY {_SEQ_DESC}) AS r FROM t WHERE source = 'pi') WHERE r = 1)"""
@@ -85,17 +85,17 @@ def _values(rows: list[tuple]) -> str:
 
 
 _CATALOG = f"""
-c AS (SELECT source, model_prefix, speed, CAST(f AS TIMESTAMP) AS effective_from, CAST(u AS TIMESTAMP) AS effective_until, a, b, w5, w1, o, us, threshold, lin, lout, long_priced, priority
+c AS MATERIALIZED (SELECT source, model_prefix, speed, CAST(f AS TIMESTAMP) AS effective_from, CAST(u AS TIMESTAMP) AS effective_until, a, b, w5, w1, o, us, threshold, lin, lout, long_priced, priority
   FROM (VALUES {_values(T.catalog_rows())}) AS x(source, model_prefix, speed, f, u, a, b, w5, w1, o, us, threshold, lin, lout, long_priced, priority))"""
 _DERIVED = """
 now AS (SELECT *, row_number() OVER (PARTITION BY source, speed, model_prefix ORDER BY priority, effective_from NULLS FIRST) AS r FROM c
   WHERE source = 'claude' AND coalesce(effective_from <= TIMESTAMP '2000-01-01', true) AND coalesce(TIMESTAMP '2000-01-01' < effective_until, true)),
-m AS (SELECT s.model_prefix AS model, CAST(1000000000 * CAST(f.a AS HUGEINT) // s.a AS BIGINT) AS multiplier FROM now s JOIN now f ON s.model_prefix = f.model_prefix AND s.r = 1 AND f.r = 1 AND s.speed = 'standard' AND f.speed = 'fast'
+m AS MATERIALIZED (SELECT s.model_prefix AS model, CAST(1000000000 * CAST(f.a AS HUGEINT) // s.a AS BIGINT) AS multiplier FROM now s JOIN now f ON s.model_prefix = f.model_prefix AND s.r = 1 AND f.r = 1 AND s.speed = 'standard' AND f.speed = 'fast'
   WHERE (1000000000 * CAST(f.a AS HUGEINT)) % s.a = 0 AND 1000000000 * CAST(f.a AS HUGEINT) // s.a = 1000000000 * CAST(f.o AS HUGEINT) // s.o
     AND 1000000000 * CAST(f.a AS HUGEINT) // s.a = 1000000000 * CAST(f.b AS HUGEINT) // s.b AND 1000000000 * CAST(f.a AS HUGEINT) // s.a = 1000000000 * CAST(f.w5 AS HUGEINT) // s.w5)"""
 _PRICED = (
     _FACTS + "," + _CATALOG + "," + _DERIVED + f""",
-l AS (SELECT u.source, u.dedup_key, c.* EXCLUDE (source, speed), row_number() OVER (PARTITION BY u.source, u.dedup_key ORDER BY c.priority, length(c.model_prefix) DESC, c.model_prefix, c.effective_from NULLS FIRST) AS r
+l AS MATERIALIZED (SELECT u.source, u.dedup_key, c.* EXCLUDE (source, speed), row_number() OVER (PARTITION BY u.source, u.dedup_key ORDER BY c.priority, length(c.model_prefix) DESC, c.model_prefix, c.effective_from NULLS FIRST) AS r
   FROM u JOIN c ON u.source = c.source AND u.speed = c.speed AND lower(u.model) = c.model_prefix
     AND coalesce(u.occurred_at >= c.effective_from, true) AND coalesce(u.occurred_at < c.effective_until, true)
   WHERE NOT (u.source = 'codex' AND u.speed = 'fast' AND u.input > 272000)),
@@ -307,12 +307,6 @@ def rebuild_sources(spark: SparkSession, sf: str) -> DataFrame:
     return ledger.rebuild(unpriced(spark, sf), ["pi"]).groupBy("source", "speed").agg(F.count("*").alias("entries"))
 
 
-@register("SELECT event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events WHERE ts >= TIMESTAMP '2024-01-15') e WHERE NOT EXISTS (SELECT 1 FROM events o WHERE o.ts < TIMESTAMP '2024-01-15' AND o.user_id = e.user_id AND o.event_type = e.event_type) GROUP BY event_type")
-def seen_set(spark: SparkSession, sf: str) -> DataFrame:
-    e = T.table(spark, sf, "events").withColumn("id", F.concat_ws("|", "user_id", "event_type"))
-    return ledger.unseen(e.where("ts >= '2024-01-15'").select("id", "event_type"), e.where("ts < '2024-01-15'")).groupBy("event_type").agg(F.count("*").alias("n"))
-
-
 # ---------------------------------------------------------------- prices
 
 
@@ -368,10 +362,9 @@ def catalog_overlap_check(spark: SparkSession, sf: str) -> DataFrame:
     return overlaps(T.catalog(spark)).groupBy("source", "speed", "model_prefix").agg(F.count("*").alias("pairs"))
 
 
-@register(f"WITH {_CATALOG}, k AS (SELECT DISTINCT CASE l_returnflag WHEN 'A' THEN 'codex' ELSE 'claude' END AS source, CASE l_linestatus WHEN 'F' THEN 'fast' ELSE 'standard' END AS speed, lower(p_brand) AS model FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag <> 'R' AND p_size < 10), h AS (SELECT c.*, min(c.priority) OVER (PARTITION BY k.source, k.speed, k.model) AS best FROM k JOIN c ON k.source = c.source AND k.speed = c.speed AND k.model = c.model_prefix) SELECT source, speed, count(*) AS n FROM (SELECT DISTINCT * FROM h WHERE priority = best) GROUP BY ALL")
+@register(f"WITH {_CATALOG}, k AS (SELECT DISTINCT CASE l_returnflag WHEN 'A' THEN 'codex' ELSE 'claude' END AS source, CASE l_linestatus WHEN 'F' THEN 'fast' ELSE 'standard' END AS speed, lower(p_brand) AS model FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag <> 'R'), h AS (SELECT c.*, min(c.priority) OVER (PARTITION BY k.source, k.speed, k.model) AS best FROM k JOIN c ON k.source = c.source AND k.speed = c.speed AND k.model = c.model_prefix) SELECT source, speed, count(*) AS n FROM (SELECT DISTINCT * FROM h WHERE priority = best) GROUP BY ALL")
 def catalog_scope(spark: SparkSession, sf: str) -> DataFrame:
-    small = T.table(spark, sf, "part").where("p_size < 10").select("p_partkey")
-    li = T.table(spark, sf, "lineitem").join(small, F.col("l_partkey") == F.col("p_partkey"), "left_semi").join(T.table(spark, sf, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+    li = T.table(spark, sf, "lineitem").join(T.table(spark, sf, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
     keys = li.where("l_returnflag != 'R'").select(F.when(F.col("l_returnflag") == "A", "codex").otherwise("claude").alias("source"), F.when(F.col("l_linestatus") == "F", "fast").otherwise("standard").alias("speed"), S.normalize_model_key(F.col("p_brand")).alias("model")).distinct()
     return pricing.scoped(T.catalog(spark), keys).groupBy("source", "speed").agg(F.count("*").alias("n"))
 
@@ -499,10 +492,6 @@ def repeated_total_collapse(spark: SparkSession, sf: str) -> DataFrame:
     return e.withColumn("before", before).where("before IS NULL OR before != sig").groupBy("user_id").agg(F.count("*").alias("facts"))
 
 
-@register("WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS n FROM conversations) SELECT conv_id, substr(text, 1, 20) AS head FROM r WHERE n = 1 AND role = 'user'")
-def opencode_first_part(spark: SparkSession, sf: str) -> DataFrame:
-    first = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    return T.table(spark, sf, "conversations").withColumn("n", F.row_number().over(first)).where("n = 1 AND role = 'user'").select("conv_id", F.substring("text", 1, 20).alias("head"))
 
 
 _AUDIT = f"""WITH {_PRICED}, a AS (SELECT day_local AS day, source, model, speed, CAST(sum(input) AS BIGINT) AS i FROM f GROUP BY ALL),

@@ -216,7 +216,7 @@ def percent_text(c: Column) -> Column:
 
 def compact_tokens(c: Column, chinese: bool = False) -> Column:
     """Two digits with K, M, B, or with the Chinese units for ten thousand and hundred million."""
-    short = lambda n: F.regexp_replace(F.format_number(c / n, 2), r"\.?0+$", "")
+    short = lambda n: F.regexp_replace(F.format_number(F.round(c / n, 2), 2), r"\.?0+$", "")
     if chinese:
         return F.when(c >= 10**8, F.concat(short(10**8), F.lit("亿"))).when(c >= 10**4, F.concat(short(10**4), F.lit("万"))).otherwise(c.cast("string"))
     return F.when(c >= 10**9, F.concat(short(10**9), F.lit("B"))).when(c >= 10**6, F.concat(short(10**6), F.lit("M"))).when(c >= 1000, F.concat(short(1000), F.lit("K"))).otherwise(c.cast("string"))
@@ -224,12 +224,12 @@ def compact_tokens(c: Column, chinese: bool = False) -> Column:
 
 def cost_text(nanos: Column, priced: Column) -> Column:
     """Full dollars and cents; null when nothing is priced; a marker for what is under one cent but not nothing."""
-    return F.when(priced <= 0, F.lit(None)).when((nanos > 0) & (nanos < NANOS // 100), "<$0.01").otherwise(F.concat(F.lit("$"), F.format_number(F.greatest(nanos, F.lit(0)) / NANOS, 2)))
+    return F.when(priced <= 0, F.lit(None)).when((nanos > 0) & (nanos < NANOS // 100), "<$0.01").otherwise(F.concat(F.lit("$"), F.format_number(F.round(F.greatest(nanos, F.lit(0)) / NANOS, 2), 2)))
 
 
 def compact_cost_text(nanos: Column) -> Column:
     """Whole dollars; `$0` for nothing, `<$1` below one."""
-    return F.when(nanos <= 0, "$0").when(nanos < NANOS, "<$1").otherwise(F.concat(F.lit("$"), F.format_number(nanos / NANOS, 0)))
+    return F.when(nanos <= 0, "$0").when(nanos < NANOS, "<$1").otherwise(F.concat(F.lit("$"), F.format_number(F.round(nanos / NANOS), 0)))
 
 
 def duration_text(seconds: Column) -> Column:

@@ -20,15 +20,13 @@ def union_entries(*parts: DataFrame) -> DataFrame:
 def deduplicate(entries: DataFrame, order: list[str] | None = None) -> DataFrame:
     """One fact per (source, dedup_key): of catalog-priced sources the largest in tokens, ties to the first; of the others the last.
 
-    `order` are the columns that say what came first (`seq`); WindowGroupLimit drops most rows before the shuffle.
+    `order` are the columns that say what came first (`seq`). The two rules share one window, as a key has one source; its group limit
+    drops most rows before the shuffle.
     """
-    seq = [F.col(c) for c in order or ["seq"]]
-    by = Window.partitionBy("source", "dedup_key")
-    first = F.row_number().over(by.orderBy(total_tokens().desc(), *seq))
-    largest = entries.where(F.col("source").isin(*CATALOG_SOURCES)).withColumn("_r", first).where("_r = 1").drop("_r")
-    last = F.row_number().over(by.orderBy(*[c.desc() for c in seq]))
-    newest = entries.where(~F.col("source").isin(*CATALOG_SOURCES)).withColumn("_r", last).where("_r = 1").drop("_r")
-    return largest.unionByName(newest)
+    priced = F.col("source").isin(*CATALOG_SOURCES)
+    seq = [x for c in order or ["seq"] for x in (F.when(priced, F.col(c)).asc(), F.when(~priced, F.col(c)).desc())]
+    first = Window.partitionBy("source", "dedup_key").orderBy(F.when(priced, total_tokens()).desc(), *seq)
+    return entries.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
 
 
 def insert_counters(entries: DataFrame, existing: DataFrame | None = None) -> DataFrame:

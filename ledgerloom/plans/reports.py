@@ -136,15 +136,23 @@ def conversation_models(entries: DataFrame) -> DataFrame:
 
 
 def conversation_page(entries: DataFrame, conversations: DataFrame, query: ConversationQuery | None = None) -> DataFrame:
-    """A page of conversations: measures over the filtered facts; title, times and models over all. Only the page is joined to these."""
+    """A page of conversations: measures over the filtered facts; title, times and models over all.
+
+    First only what the order needs is computed, for all conversations that match; then the page's keys, MAX_PAGE at most, are
+    literals of the filters on facts and conversations, so that everything else is computed for the page alone.
+    """
     q = (query or ConversationQuery()).checked()
-    found = measured(_matching(entries, conversations, q), conversation_key=F.col("conversation_key"))
-    found = found.join(conversations.select("conversation_key", "last_at"), "conversation_key")
+    found = _matching(entries, conversations, q)
+    if q.sort == "recent":
+        ranked = conversations.join(found.select("conversation_key").distinct(), "conversation_key", "left_semi").select("conversation_key", F.col("last_at").alias("_by"))
+    else:
+        value = total_tokens() if q.sort == "tokens" else F.col("api_equivalent_cost_nanos")
+        ranked = found.groupBy("conversation_key").agg(F.coalesce(F.sum(value), F.lit(0)).alias("_by")).join(conversations.select("conversation_key"), "conversation_key", "left_semi")
+    keys = [r[0] for r in ranked.orderBy(F.desc("_by"), "conversation_key").offset(q.offset).limit(q.limit).select("conversation_key").collect()]  # at most MAX_PAGE
+    ours = lambda df: df.where(F.col("conversation_key").isin(*keys) if keys else F.lit(False))
+    page = measured(ours(found), conversation_key=F.col("conversation_key")).join(ours(conversations), "conversation_key")
     key = {"recent": F.col("last_at"), "tokens": total_tokens(), "cost": F.col("cost_nanos")}[q.sort]
-    page = found.orderBy(key.desc(), "conversation_key").offset(q.offset).limit(q.limit).drop("last_at")
-    out = page.join(conversations, "conversation_key")
-    models = conversation_models(entries.join(F.broadcast(page.select("conversation_key")), "conversation_key", "left_semi"))  # at most MAX_PAGE keys
-    return out.join(models, "conversation_key", "left").orderBy(key.desc(), "conversation_key")
+    return page.join(conversation_models(ours(entries)), "conversation_key", "left").orderBy(key.desc(), "conversation_key")
 
 
 def project_options(entries: DataFrame, conversations: DataFrame, start=None, end=None, sources: list[str] | None = None) -> DataFrame:
