@@ -47,3 +47,9 @@ def common_days(ours: DataFrame, theirs: DataFrame) -> DataFrame:
 
 def all_days(ours: DataFrame, theirs: DataFrame) -> DataFrame:
     return ours.select("day").union(theirs.select("day")).distinct()
+
+
+def write_report(compared: DataFrame, path: str) -> dict:
+    """Write the rows that are not equal as JSON lines, and return how many rows each state has."""
+    compared.where("state != 'equal'").orderBy("state", *[c for c in KEYS if c in compared.columns]).write.mode("overwrite").json(path)
+    return {r.state: r.n for r in compared.groupBy("state").agg(F.count("*").alias("n")).collect()}

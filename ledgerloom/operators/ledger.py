@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerloom.operators.metrics import total_tokens
-from ledgerloom.schema import CATALOG_SOURCES, ENTRIES
+from ledgerloom.schema import CATALOG_SOURCES, CONVERSATION_FACTS, ENTRIES
 
 
 def union_entries(*parts: DataFrame) -> DataFrame:
@@ -58,6 +58,12 @@ def merge_conversations(facts: DataFrame, order: list[str] | None = None) -> Dat
     )
 
 
+def conversations_as_facts(conversations: DataFrame) -> DataFrame:
+    """Known conversations as what two facts before all others said, so that new facts are merged into them."""
+    ends = conversations.withColumn("occurred_at", F.explode(F.array("first_at", "last_at")))
+    return ends.withColumn("seq", F.lit("")).select(*CONVERSATION_FACTS.names)
+
+
 def without_orphans(conversations: DataFrame, entries: DataFrame) -> DataFrame:
     """Conversations that still have a fact."""
     return conversations.join(entries.select("conversation_key").distinct(), "conversation_key", "left_semi")
@@ -90,8 +96,3 @@ def valid_entries(entries: DataFrame) -> DataFrame:
     for c in TOKENS:
         ok = ok & (F.col(c) >= 0)
     return entries.where(ok & (F.col("reasoning_output_tokens") <= F.col("output_tokens")))
-
-
-def write_ledger(entries: DataFrame, path: str) -> None:
-    """Parquet by source; only the partitions of the sources at hand are replaced."""
-    entries.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source").parquet(path)

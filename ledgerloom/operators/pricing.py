@@ -18,11 +18,10 @@ FAST_MULTIPLIERS = {
     "claude": {"claude-opus-5": 2_000_000_000, "claude-opus-4-8": 2_000_000_000, "claude-opus-4-7": 6_000_000_000, "claude-opus-4-6": 6_000_000_000},
 }
 POLICY_VERSION = 2
-MAX_CATALOG_ROWS = 100_000
 
 
 def ranked(catalog: DataFrame) -> DataFrame:
-    """One row per source, speed and model prefix with its catalog rows in order of precedence; at most MAX_CATALOG_ROWS rows, so broadcast."""
+    """One row per source, speed and model prefix with its catalog rows in order of precedence."""
     entry = F.struct("priority", (-F.length("model_prefix")).alias("_shorter"), "model_prefix", "effective_from", "effective_until", *RATES, "us_bps", "long_threshold", "long_input_bps", "long_output_bps", "long_priced")
     return catalog.groupBy(F.col("source").alias("_source"), F.col("speed").alias("_speed"), F.col("model_prefix").alias("_prefix")).agg(F.sort_array(F.collect_list(entry)).alias("_entries"))
 
@@ -37,9 +36,9 @@ def undated(model: Column) -> Column:
 def with_entries(rows: DataFrame, catalog: DataFrame) -> DataFrame:
     """Adds `_entries`, in order of precedence, of the catalog rows whose prefix is `_model`, or is it without a date.
 
-    Both are hash joins with the broadcast catalog, so a row costs the same however long the catalog is.
+    Both are equality joins with the catalog, which Spark broadcasts where its size allows.
     """
-    known = F.broadcast(ranked(catalog))
+    known = ranked(catalog)
     rows = rows.withColumn("_base", undated(F.col("_model")))
     for key, name in (("_model", "_exact"), ("_base", "_dated")):
         named = known.select(*[F.col(c).alias(f"{name}{c}") for c in known.columns])
@@ -132,7 +131,7 @@ def price(facts: DataFrame, catalog: DataFrame, fingerprint: str | None = None,
     cost = F.col("_cost")
     fixed = _multiplier(F.col("_model"), F.col("source"))
     if derived is not None:
-        rows = rows.join(F.broadcast(derived.withColumnRenamed("_model", "_of")), (F.col("source") == "claude") & (F.col("_model") == F.col("_of")), "left")
+        rows = rows.join(derived.withColumnRenamed("_model", "_of"), (F.col("source") == "claude") & (F.col("_model") == F.col("_of")), "left")
         fixed = F.coalesce(fixed, F.col("_derived"))
     total = input_tokens() + F.col("output_tokens")
     billing = F.when((F.col("speed") == "fast") & (total >= 0), F.try_multiply(total, fixed))
@@ -179,7 +178,7 @@ def missing_keys(keys: DataFrame, catalog: DataFrame, attempts: DataFrame | None
 def scoped(catalog: DataFrame, keys: DataFrame) -> DataFrame:
     """Catalog rows that some key can reach: matching rows of the key's best priority."""
     c = catalog.withColumn("_id", F.struct("source", "speed", "model_prefix", "effective_from", "priority"))
-    hit = keys.withColumnRenamed("source", "_s").withColumnRenamed("speed", "_v").join(F.broadcast(c), (F.col("_s") == F.col("source")) & (F.col("_v") == F.col("speed")) & S.model_matches(F.col("model"), F.col("model_prefix")))
+    hit = keys.withColumnRenamed("source", "_s").withColumnRenamed("speed", "_v").join(c, (F.col("_s") == F.col("source")) & (F.col("_v") == F.col("speed")) & S.model_matches(F.col("model"), F.col("model_prefix")))
     best = hit.groupBy("_s", "_v", "model").agg(F.min("priority").alias("_best"))
     near = hit.join(best, ["_s", "_v", "model"]).where(F.col("priority") == F.col("_best"))
     return near.select(*catalog.columns).distinct()

@@ -65,6 +65,12 @@ def change_only(events: DataFrame, order: list[str] | None = None) -> DataFrame:
     return rows.withColumn("_before", before).withColumn("_first", F.row_number().over(by) == 1).where(F.col("_first") | ~F.col("remaining_percent").eqNullSafe(F.col("_before"))).drop("_before", "_first")
 
 
+def valid_events(events: DataFrame) -> DataFrame:
+    """Points that a history accepts: a provider, a window of a known kind, a time, and a share between 0 and 100 where there is one."""
+    named = F.col("provider").isNotNull() & F.col("window_id").isNotNull() & F.col("kind").isin("five_hour", "weekly", "model", "unknown") & F.col("observed_at").isNotNull()
+    return events.where(named & (F.col("remaining").isNull() | F.col("remaining").between(0, 100)))
+
+
 def append_changes(history: DataFrame, events: DataFrame) -> DataFrame:
     """New points that change their series, given the last known point of each."""
     last = history.groupBy(*SERIES).agg(F.max_by("remaining_percent", "observed_at").alias("_known"))

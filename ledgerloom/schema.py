@@ -10,6 +10,7 @@ CATALOG_SOURCES = ("codex", "claude")
 TOKENS = ("uncached_input_tokens", "cache_read_input_tokens", "cache_write_5m_input_tokens", "cache_write_1h_input_tokens", "output_tokens", "reasoning_output_tokens")
 PRICE_COLUMNS = ("api_equivalent_cost_nanos", "billing_equivalent_tokens_nanos", "fast_multiplier_nanos", "pricing_fingerprint")
 
+# fixed values: the names of the ledger's columns
 _STRINGS = ("file_key", "source", "dedup_key", "conversation_key", "model", "speed", "inference_geo")
 ENTRIES = T.StructType(
     [T.StructField(c, T.StringType()) for c in _STRINGS]
@@ -22,6 +23,10 @@ CONVERSATION_FACTS = T.StructType(
     [T.StructField(c, T.StringType()) for c in ("conversation_key", "source", "title", "project_hint", "source_id", "branch")]
     + [T.StructField("is_sidechain", T.BooleanType()), T.StructField("occurred_at", T.TimestampType()), T.StructField("seq", T.StringType())]
 )
+CONVERSATIONS = T.StructType(
+    [T.StructField(c, T.StringType()) for c in ("conversation_key", "source", "title", "project_hint", "source_id", "branch")]
+    + [T.StructField("is_sidechain", T.BooleanType()), T.StructField("first_at", T.TimestampType()), T.StructField("last_at", T.TimestampType())]
+)
 QUOTA_EVENTS = T.StructType([
     T.StructField("provider", T.StringType()), T.StructField("identity", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("window_id", T.StringType()),
     T.StructField("remaining", T.DoubleType()), T.StructField("resets_at", T.TimestampType()), T.StructField("observed_at", T.TimestampType()),

@@ -181,7 +181,7 @@ def remote_layer(list_a: DataFrame, list_b: DataFrame, local: DataFrame, sources
     prefix = F.when(F.col("source") == "claude", F.translate("model_prefix", ".", "-")).otherwise(F.col("model_prefix"))
     rows = rows.withColumn("model_prefix", prefix).dropDuplicates(["source", "speed", "model_prefix"])
     l = local.select(F.col("source").alias("_s"), F.col("model_prefix").alias("_p"), "us_bps", "priority", F.length("model_prefix").alias("_n"))
-    near = rows.join(F.broadcast(l), (F.col("source") == F.col("_s")) & S.model_matches(F.col("model_prefix"), F.col("_p")), "left")
+    near = rows.join(l, (F.col("source") == F.col("_s")) & S.model_matches(F.col("model_prefix"), F.col("_p")), "left")
     first = Window.partitionBy("source", "speed", "model_prefix").orderBy(F.col("priority").asc_nulls_last(), F.desc("_n"), "_p")
     near = near.withColumn("_r", F.row_number().over(first)).where("_r = 1")
     hour = F.when(F.col("source") == "claude", F.col("uncached_rate") * 2).otherwise(F.lit(0))

@@ -9,13 +9,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.operators import ledger
-from ledgerloom.sources import lines
+from ledgerloom.schema import ENTRIES
+from ledgerloom.sources import folders, lines
 
 _RAW = "path string, modificationTime timestamp, length long, content binary"
 
 
 def file_stream(spark: SparkSession, root: str, source: str, max_files: int = 200) -> DataFrame:
-    """New log files as a stream of file_key, stem, content; a grown file comes again only under a new name or by rebuild."""
+    """New log files as a stream of file_key, stem, content, for logs that are complete when they arrive.
+
+    A file stream takes a path once; logs that grow are followed by `UsageLedger.watch`, whose manifest knows how far each was read.
+    """
     raw = spark.readStream.format("binaryFile").schema(_RAW).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[jJ][sS][oO][nN][lL]").option("maxFilesPerTrigger", max_files).load(root)
     from ledgerloom.functions import scalars as S
 
@@ -23,35 +27,66 @@ def file_stream(spark: SparkSession, root: str, source: str, max_files: int = 20
     return raw.select(S.hash_parts(F.lit(source), stem).alias("file_key"), stem.alias("stem"), "content", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
 
-def merge_batch(spark: SparkSession, path: str, entries: DataFrame, batch: int) -> None:
-    """Merge a batch of facts into the Parquet ledger at `path`; running a batch again changes nothing.
+#: Parts that a streamed ledger is kept in; a batch rewrites those that it has facts for.
+BUCKETS = 32
+_COMMITS = "kind string, name string, at long"
 
-    Each batch writes its own version folder from the one before, so a lost executor or driver leaves the last whole version.
-    """
-    old = current_version(spark, path)
-    if old is not None and int(old.rsplit("=", 1)[1]) >= batch:
-        return
-    both = entries if old is None else spark.read.schema(entries.schema).parquet(old).unionByName(entries)
-    ledger.deduplicate(both).write.mode("overwrite").parquet(f"{path}/version={batch}")
 
+def merge_batch(spark: SparkSession, path: str, entries: DataFrame, batch: int, query: str = "") -> None:
+    """Merge a batch of facts of a query into the ledger at `path`; running a batch of that query again changes nothing.
 
-def current_version(spark: SparkSession, path: str) -> str | None:
-    """The folder of the last whole version."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    top = hadoop.Path(path)
-    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(top):
-        return None
-    whole = [str(s.getPath()) for s in fs.listStatus(top) if "version=" in str(s.getPath()) and fs.exists(hadoop.Path(s.getPath(), "_SUCCESS"))]
-    return max(whole, key=lambda p: int(p.rsplit("=", 1)[1]), default=None)
+    Facts are kept in hash buckets. A batch writes those that it touches anew, and then a commit that says which version of each bucket
+    counts and how far each query has come; so a lost executor or driver leaves the last commit, and other queries' batches are kept.
+    """
+    known = folders.versions(spark, f"{path}/commits")
+    at, done = _commit(spark, path)
+    if done.get(query, -1) >= batch:
+        return
+    bucket = F.pmod(F.xxhash64("source", "dedup_key"), F.lit(BUCKETS)).cast("int")
+    fresh = entries.select(*ENTRIES.names).withColumn("_bucket", bucket).persist()
+    touched = [r[0] for r in fresh.select("_bucket").distinct().collect()]  # at most BUCKETS
+    version = (known[-1] if known else -1) + 1
+    if touched:
+        old = _buckets(spark, path, {b: v for b, v in at.items() if b in touched})
+        ledger.deduplicate(old.unionByName(fresh.drop("_bucket"))).withColumn("_bucket", bucket).repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/data/version={version}")
+    at |= dict.fromkeys(touched, version)
+    done[query] = batch
+    rows = [("bucket", str(b), v) for b, v in at.items()] + [("query", q, n) for q, n in done.items()]
+    folders.write(spark.createDataFrame(rows, _COMMITS), f"{path}/commits", version)
+    fresh.unpersist()
+    folders.expire(spark, f"{path}/commits")
+    needed = {v for c in folders.versions(spark, f"{path}/commits") for v in _commit(spark, path, c)[0].values()}
+    for v in folders.versions(spark, f"{path}/data"):
+        if v not in needed:
+            folders.delete(spark, f"{path}/data/version={v}")
+
+
+def _commit(spark: SparkSession, path: str, version: int | None = None) -> tuple[dict[int, int], dict[str, int]]:
+    """(version of each bucket, last batch of each query)."""
+    top = f"{path}/commits"
+    rows = (folders.latest(spark, top, _COMMITS) if version is None else folders.read(spark, top, version, _COMMITS)).collect()  # a row a bucket and query
+    return {int(r.name): r.at for r in rows if r.kind == "bucket"}, {r.name: r.at for r in rows if r.kind == "query"}
+
+
+def _buckets(spark: SparkSession, path: str, at: dict[int, int]) -> DataFrame:
+    places = [f"{path}/data/version={v}/_bucket={b}" for b, v in sorted(at.items())]
+    return spark.read.schema(ENTRIES).parquet(*places) if places else spark.createDataFrame([], ENTRIES)
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The facts of the last commit."""
+    return _buckets(spark, path, _commit(spark, path)[0])
 
 
 def ingest(stream: DataFrame, parse: Callable[[DataFrame], DataFrame], path: str, checkpoint: str):
-    """Start a query that parses arriving files and merges their facts; `parse` maps json lines to ledger entries. One run takes all there is."""
+    """Start a query that parses arriving files and merges their facts; `parse` maps json lines to ledger entries. One run takes all there is.
+
+    The checkpoint names the query: another one may write to the same ledger.
+    """
     spark = stream.sparkSession
 
     def batch(df: DataFrame, number: int) -> None:
-        merge_batch(spark, path, parse(lines.json_lines(df)), number)
+        merge_batch(spark, path, parse(lines.json_lines(df)), number, checkpoint)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -71,25 +106,25 @@ _STATE = T.StructType([T.StructField("remaining_percent", T.IntegerType())])
 
 
 def change_only_stream(events: DataFrame) -> DataFrame:
-    """A stream of quota points without those that repeat their series' value; one small number of state a series."""
+    """A stream of quota points without those that repeat their series' value; one small number of state a series.
+
+    Points are put in order within a batch; one that comes in a later batch than its successors is compared with the last value kept.
+    """
     import pandas as pd
 
     series = ["provider", "identity", "kind", "window_id"]
 
     def keep(key, batches, state):
         known = state.get[0] if state.exists else None
-        for pdf in batches:
-            pdf = pdf.sort_values("observed_at")
-            rows = []
-            for at, value in zip(pdf["observed_at"], pdf["remaining_percent"], strict=True):
-                if known is None or value != known:
-                    rows.append((*key, int(value), at))
-                    known = int(value)
-            if known is not None:
-                state.update((known,))
-            yield pd.DataFrame(rows, columns=[*series, "remaining_percent", "observed_at"])
+        parts = list(batches)  # the points of one series in one batch
+        points = pd.concat(parts).sort_values("observed_at", kind="stable") if parts else None
+        if points is None or points.empty:
+            return
+        before = points["remaining_percent"].shift(1)
+        before.iloc[0] = float("nan") if known is None else known
+        new = points[points["remaining_percent"] != before]
+        state.update((int(points["remaining_percent"].iloc[-1]),))
+        yield pd.DataFrame({**dict(zip(series, key, strict=True)), "remaining_percent": new["remaining_percent"].astype(int), "observed_at": new["observed_at"]})
 
     schema = "provider string, identity string, kind string, window_id string, remaining_percent int, observed_at timestamp"
     return events.groupBy(*series).applyInPandasWithState(keep, schema, _STATE, "append", "NoTimeout")
-
-

@@ -103,7 +103,7 @@ def test_streaming_ingest_is_idempotent(spark, tmp_path):
 
     from ledgerloom.operators import dialects
     from ledgerloom.streaming import ingest
-    from tests.test_dialects import CLAUDE
+    from tests.test_dialects import CLAUDE, PI
 
     logs, ledger_path, check = tmp_path / "logs", str(tmp_path / "ledger"), str(tmp_path / "check")
     logs.mkdir()
@@ -111,9 +111,35 @@ def test_streaming_ingest_is_idempotent(spark, tmp_path):
     parse = lambda lines: dialects.entries(dialects.claude(lines))
     run = lambda: ingest.ingest(ingest.file_stream(spark, str(logs), "claude"), parse, ledger_path, check).awaitTermination()
     run()
-    first = ingest.current_version(spark, ledger_path)
+    read = lambda: sorted(tuple(r) for r in ingest.read_ledger(spark, ledger_path).select("source", "dedup_key", "output_tokens").collect())
+    first = read()
+    assert len(first) == 2
     (logs / "b.jsonl").write_text("".join(json.dumps(r) + "\n" for r in CLAUDE))
     run()
     run()
-    last = ingest.current_version(spark, ledger_path)
-    assert first != last and spark.read.parquet(last).count() == spark.read.parquet(first).count() == 1
+    assert read() == first
+    # a second stream into the same ledger begins with batch 0, too
+    other = tmp_path / "other"
+    other.mkdir()
+    (other / "p.jsonl").write_text("".join(json.dumps(r) + "\n" for r in PI))
+    more = lambda: ingest.ingest(ingest.file_stream(spark, str(other), "pi"), lambda x: dialects.entries(dialects.pi(x)), ledger_path, str(tmp_path / "check2")).awaitTermination()
+    more()
+    assert len(read()) == 5 and set(first) < set(read())
+    entries = ingest.read_ledger(spark, ledger_path)
+    before = read()
+    ingest.merge_batch(spark, ledger_path, entries.where("source = 'pi'").withColumn("dedup_key", F.lit("again")), 0, str(tmp_path / "check2"))  # batch 0 of that query was merged
+    assert read() == before
+
+
+def test_change_only_stream(spark, tmp_path):
+    from ledgerloom.streaming import ingest
+
+    schema = "provider string, identity string, kind string, window_id string, remaining_percent int, observed_at timestamp"
+    at = lambda m: datetime(2031, 1, 1, 0, m, tzinfo=UTC)
+    batches = [[("p", "i", "k", "w", v, at(m)) for v, m in ((50, 3), (50, 1), (49, 2))] + [("p", "j", "k", "w", 7, at(1))], [("p", "i", "k", "w", v, at(m)) for v, m in ((50, 4), (40, 5), (40, 6))]]
+    out, place = [], tmp_path / "in"
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(place))
+        query = ingest.change_only_stream(spark.readStream.schema(schema).parquet(str(place))).writeStream.foreachBatch(lambda df, _: out.extend((r.identity, r.remaining_percent, r.observed_at.minute) for r in df.collect())).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+        query.awaitTermination()
+    assert sorted(out) == [("i", 40, 5), ("i", 49, 2), ("i", 50, 1), ("i", 50, 3), ("j", 7, 1)]
