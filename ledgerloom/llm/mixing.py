@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ledgerloom.llm.common import WORD, attach, stored
 
 #: Rows for each of which the key space has one range; the keys are uniform, so a source has no more of them in a range.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 4_096
 
 
 def word_count(text: Column) -> Column:
