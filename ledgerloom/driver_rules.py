@@ -288,3 +288,51 @@ def calendar_ranges(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(rows, "day string, chart_start string, custom_end string, week_before string, shown_end string")
 
 
+
+
+@register("""WITH g AS (SELECT * FROM (SELECT unnest([0, 1, 50, 200, 201]) AS page), (SELECT unnest([-1, 0, 7]) AS start), (SELECT unnest([0, 200, 201]) AS letters), (SELECT unnest(['recent', 'tokens', 'cost', 'name']) AS sort), (SELECT unnest([-1, 0, 1]) AS days))
+SELECT *, page BETWEEN 1 AND 200 AND start >= 0 AND letters <= 200 AND sort <> 'name' AND days > 0 AS accepted, CASE WHEN page BETWEEN 1 AND 200 AND start >= 0 AND letters <= 200 AND sort <> 'name' AND days > 0 AND letters > 0 THEN letters END AS searched FROM g""")
+def request_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Which requests for a page of conversations are accepted, over a grid of sizes, offsets, searches, orders and ranges."""
+    rows = []
+    for page in (0, 1, 50, 200, 201):
+        for start in (-1, 0, 7):
+            for letters in (0, 200, 201):
+                for sort in ("recent", "tokens", "cost", "name"):
+                    for days in (-1, 0, 1):
+                        times = reports.Filter("2024-01-02T00:00:00Z", f"2024-01-0{2 + days}T00:00:00Z")
+                        try:
+                            got = reports.ConversationQuery(times, search=f" {'x' * letters} ", sort=sort, limit=page, offset=start).checked()
+                            rows.append((page, start, letters, sort, days, True, got.search and len(got.search)))
+                        except ValueError:
+                            rows.append((page, start, letters, sort, days, False, None))
+    return spark.createDataFrame(rows, "page int, start int, letters int, sort string, days int, accepted boolean, searched int")
+
+
+@register("SELECT * FROM (VALUES ('again', true), ('another rate', false), ('one row less', false), ('rows the other way', true)) AS x(change, same)")
+def catalog_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    """A catalog's fingerprint follows its rows and nothing else."""
+    c = T.catalog(spark)
+    print_ = pricing.fingerprint(c)
+    changed = {"again": c, "rows the other way": c.orderBy(F.desc("model_prefix"), "speed"), "another rate": c.withColumn("output_rate", F.when(F.col("model_prefix") == "brand#1", F.col("output_rate") + 1).otherwise(F.col("output_rate"))), "one row less": c.where("NOT (model_prefix = 'brand#1' AND speed = 'fast' AND source = 'codex' AND priority = 2)")}
+    return spark.createDataFrame([(k, pricing.fingerprint(v) == print_) for k, v in changed.items()], "change string, same boolean")
+
+
+@register("SELECT CAST(event_id AS VARCHAR) AS provider, ['none', 'major', 'unknown'][event_id % 4 + 1] AS indicator, CASE WHEN user_id % 2 = 0 THEN event_type END AS description, CASE WHEN event_id % 4 <> 1 THEN strftime(ts, '%Y-%m-%d') END AS updated_at FROM events WHERE event_id % 4 < 3")
+def service_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Status pages of services; a page without an indicator says nothing."""
+    from ledgerloom.plans import readings
+
+    k, c = F.col("event_id") % 4, F.col
+    status = F.struct(F.when(k == 0, "none").when(k == 1, "major").when(k == 2, "on fire").alias("indicator"), F.when(c("user_id") % 2 == 0, c("event_type")).alias("description"))
+    page = F.struct(F.when(k != 1, F.date_format("ts", "yyyy-MM-dd")).alias("updated_at"))
+    return readings.service_states(T.table(spark, sf, "events").select(c("event_id").cast("string").alias("provider"), F.to_json(F.struct(status.alias("status"), page.alias("page"))).alias("body")))
+
+
+@register(f"WITH {Q._ENTRIES}, s AS (SELECT * FROM t WHERE source <> 'pi' AND uncached_input_tokens > 0) SELECT source, count(*) AS n FROM s WHERE reasoning_output_tokens <= output_tokens AND CAST(file_key AS BIGINT) % 5 <> 0 GROUP BY source")
+def valid_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """Facts that the ledger accepts among those with an unknown source, a negative count, or more reasoning than output."""
+    e = T.entries(spark, sf).where("uncached_input_tokens > 0")
+    k = F.col("file_key").cast("long") % 5
+    e = e.withColumns({"source": F.when(F.col("source") == "pi", "other").otherwise(F.col("source")), "output_tokens": F.when(k == 0, F.when(F.col("file_key").cast("long") % 2 == 0, F.lit(-1)).otherwise(F.col("reasoning_output_tokens") - 1)).otherwise(F.col("output_tokens"))})
+    return ledger.valid_entries(e).groupBy("source").agg(F.count("*").alias("n"))
