@@ -24,8 +24,8 @@ def deduplicate(entries: DataFrame, order: list[str] | None = None) -> DataFrame
     drops most rows before the shuffle.
     """
     priced = F.col("source").isin(*CATALOG_SOURCES)
-    seq = [x for c in order or ["seq"] for x in (F.when(priced, F.col(c)).asc(), F.when(~priced, F.col(c)).desc())]
-    first = Window.partitionBy("source", "dedup_key").orderBy(F.when(priced, total_tokens()).desc(), *seq)
+    seq = F.struct(*(order or ["seq"]))
+    first = Window.partitionBy("source", "dedup_key").orderBy(F.when(priced, total_tokens()).desc(), F.when(priced, seq).asc(), F.when(~priced, seq).desc())
     return entries.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
 
 
