@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ledgerloom.llm.common import map_texts
+from ledgerloom.llm.common import map_texts, release_memory
 from ledgerloom.llm.language_id import flat_bytes, fold
 from ledgerloom.llm.quality import labelled_ids, labelled_texts
 from ledgerloom.llm.text_hash import ALNUM, hashes, spans
@@ -320,7 +320,9 @@ def training_sample(documents: DataFrame, labels: DataFrame, learn_from: Column,
 
 def train(documents: DataFrame, labels: DataFrame, learn_from: Column, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """A model from the label rows that `learn_from` chooses and the documents of their ids."""
-    return learn(training_sample(documents, labels, learn_from, doc_id, text, label))
+    model = learn(training_sample(documents, labels, learn_from, doc_id, text, label))
+    release_memory()  # the driver's: what comes after the training has it
+    return model
 
 
 def apply(documents: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",), text: str = "text", threshold: float = 0.5) -> DataFrame:

@@ -309,6 +309,21 @@ def test_jaccard_components(spark, docs, empty, monkeypatch):
     assert ngram_join.jaccard_components(empty).count() == 0
 
 
+def test_ids_are_found_by_a_bitmap_of_bounded_size(spark, docs, monkeypatch):
+    """No table of ids grows with the input at the driver: 400 000 keys are 1024 rows of 4 KB, and what hashes meet in is told apart."""
+    bits = common.bitmap(spark.range(400_000), "id")
+    assert bits.count() <= 1024 and bits.where("octet_length(_bits) > 4096").isEmpty()
+    rows = spark.range(100_000, 700_000).withColumn("_in_bits", F.lit("own"))
+    found = common.maybe_among(rows, "id", bits, "_maybe").where("_maybe")
+    assert found.where("id < 400000 AND _in_bits = 'own'").count() == 300_000 and found.where("id >= 400000").count() < 15_000
+    nothing = common.bitmap(spark.createDataFrame([(None,)], "id long"), "id")
+    assert common.maybe_among(spark.createDataFrame([(None,), (7,)], "id long"), "id", nothing, "_maybe").where("_maybe").collect() == [(None, True)]
+    kept = sorted(r.doc_id for r in ngram_join.keep_one(docs.where("doc_id IS NOT NULL")).collect())
+    monkeypatch.setattr(ngram_join, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(common, "BITMAP_BITS", 64)
+    assert sorted(r.doc_id for r in ngram_join.keep_one(docs.where("doc_id IS NOT NULL")).collect()) == kept
+
+
 def test_keep_one_tells_rows_of_an_id_apart(spark):
     alone, other = " ".join(words(30)), " ".join(words(40))
     near = " ".join(BASE[:59])
