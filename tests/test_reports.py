@@ -23,6 +23,19 @@ def test_scalars(spark):
     assert [(i, row[i]) for i in range(len(cases))] == [(i, want) for i, (_, want) in enumerate(cases)]
 
 
+def test_totals_beyond_63_bits_fail_nothing(spark):
+    """A total that fits is exact, one beyond its column is null, in groups and totals; the other measures stay."""
+    one = lambda model, billing: (model, "fast", "claude", "us", "2020-01-01", *[1] * 6, 5, billing, 2, "p")
+    names = ["model", "speed", "source", "inference_geo", "day_local", "uncached_input_tokens", "cache_read_input_tokens", "cache_write_5m_input_tokens", "cache_write_1h_input_tokens", "output_tokens", "reasoning_output_tokens", "api_equivalent_cost_nanos", "billing_equivalent_tokens_nanos", "fast_multiplier_nanos", "pricing_fingerprint"]
+    facts = spark.createDataFrame([one("a", 2**62), one("a", 2**62), one("b", 2**62), one("b", 2**62 - 1)], names)
+    got = {r.group_key: (r.entries, r.cost_nanos, r.fast_billing_nanos) for r in reports.summary(facts, "model").collect()}
+    assert got == {"a": (2, 10, None), "b": (2, 10, 2**63 - 1)}
+    for by in ("model", "speed"):
+        total = reports.summary_totals(facts, by).first()
+        assert (total.entries, total.cost_nanos, total.fast_billing_nanos) == (4, 20, None)
+    assert reports.summary_totals(facts.limit(0), "speed").first().fast_billing_nanos == 0
+
+
 def test_calendar():
     zone = "Europe/Berlin"
     day = calendar.preset("today", NOW, zone)
