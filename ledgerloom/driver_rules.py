@@ -168,6 +168,19 @@ def summary_as_read(spark: SparkSession, sf: str) -> DataFrame:
     return wire_names(rows)
 
 
+def _nanos_text_sql(c: str) -> str:
+    return f"CASE WHEN {c} % 1000000000 = 0 THEN CAST({c} // 1000000000 AS VARCHAR) ELSE rtrim(CAST({c} // 1000000000 AS VARCHAR) || '.' || lpad(CAST({c} % 1000000000 AS VARCHAR), 9, '0'), '0') END"
+
+
+_EXACT = f"{_nanos_text_sql('billing')} AS fast_billing_tokens, {_nanos_text_sql('cost')} AS cost_usd"
+
+
+@register(f"WITH {Q._PRICED}, g AS (SELECT speed AS group_key, count(*) AS entries, coalesce(sum(CASE WHEN speed = 'fast' THEN billing END), 0) AS billing, coalesce(sum(cost), 0) AS cost FROM f GROUP BY 1) SELECT group_key, entries, {_EXACT} FROM g")
+def summary_by_speed_exact(spark: SparkSession, sf: str) -> DataFrame:
+    """The totals of `summary_by_speed` as decimal texts, which hold what its BIGINT columns cannot."""
+    return presented(reports.summary(Q.facts(spark, sf), "speed")).select("group_key", "entries", "fast_billing_tokens", "cost_usd")
+
+
 @register(f"WITH {Q._PRICED} SELECT day_local AS day, CAST(sum(total) AS BIGINT) AS total_tokens, CAST(coalesce(sum(cost), 0) AS BIGINT) AS cost_nanos, count(cost) AS priced, CAST(round(least(100, sum(cache_read_input_tokens) * 100.0 / sum(input))) AS INTEGER) AS cache_rate FROM f WHERE occurred_at >= TIMESTAMP '1997-01-01' AND occurred_at < TIMESTAMP '1998-01-01' AND source IN ('codex', 'pi') GROUP BY 1")
 def daily_tooltips(spark: SparkSession, sf: str) -> DataFrame:
     year = calendar.preset("year", datetime(1997, 5, 5, tzinfo=UTC))

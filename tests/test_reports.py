@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import scalars as S
-from ledgerloom.operators import audit, ledger, quota
+from ledgerloom.operators import audit, ledger, metrics, quota
 from ledgerloom.plans import calendar, reports, scheduling
 
 NOW = datetime(2026, 3, 29, 12, tzinfo=UTC)
@@ -42,6 +42,25 @@ def test_totals_beyond_63_bits_fail_nothing(spark):
     assert reports.summary_totals(facts.limit(0), "speed").first().fast_billing_nanos == 0
 
 
+def beyond_63_bits(spark):
+    """Two models whose billing nanos come to 2^63 and 2^63 - 1, at a cost of 2^63 + 1 and 2."""
+    one = lambda model, cost, billing: (model, "fast", "claude", "us", "2020-01-01", *[1] * 6, cost, billing, 2, "p")
+    names = ["model", "speed", "source", "inference_geo", "day_local", "uncached_input_tokens", "cache_read_input_tokens", "cache_write_5m_input_tokens", "cache_write_1h_input_tokens", "output_tokens", "reasoning_output_tokens", "api_equivalent_cost_nanos", "billing_equivalent_tokens_nanos", "fast_multiplier_nanos", "pricing_fingerprint"]
+    return spark.createDataFrame([one("a", 2**62, 2**62), one("a", 2**62 + 1, 2**62), one("b", 1, 2**62), one("b", 1, 2**62 - 1)], names)
+
+
+def test_group_totals_beyond_63_bits_stay_whole(spark):
+    rows = {r.group_key: r for r in metrics.presented(reports.summary(beyond_63_bits(spark), "model")).collect()}
+    assert {k: (int(r.fast_billing_nanos_exact), int(r.cost_nanos_exact)) for k, r in rows.items()} == {"a": (2**63, 2**63 + 1), "b": (2**63 - 1, 2)}
+    assert {k: (r.fast_billing_tokens, r.cost_usd) for k, r in rows.items()} == {"a": ("9223372036.854775808", "9223372036.854775809"), "b": ("9223372036.854775807", "0.000000002")}
+    assert (rows["a"].fast_billing_nanos, rows["a"].cost_nanos) == (None, None) and (rows["b"].fast_billing_nanos, rows["b"].cost_nanos) == (2**63 - 1, 2)
+    all_ = metrics.presented(reports.summary(beyond_63_bits(spark), "speed")).first()
+    assert (all_.entries, all_.fast_billing_tokens, all_.cost_usd) == (4, "18446744073.709551615", "9223372036.854775811")
+    facts = beyond_63_bits(spark).withColumns({"conversation_key": F.lit("c"), "occurred_at": F.lit(NOW)})
+    for rows in (reports.dashboard(facts, calendar.Range(None, None)).where("level = 'source'"), reports.conversation_breakdown(facts, "c").where("level = 'speed'")):
+        assert metrics.presented(rows).first().fast_billing_tokens == "18446744073.709551615"
+
+
 def test_calendar():
     zone = "Europe/Berlin"
     day = calendar.preset("today", NOW, zone)
