@@ -181,6 +181,12 @@ def summary_by_speed_exact(spark: SparkSession, sf: str) -> DataFrame:
     return presented(reports.summary(Q.facts(spark, sf), "speed")).select("group_key", "entries", "fast_billing_tokens", "cost_usd")
 
 
+@register(f"WITH {Q._PRICED}, g AS (SELECT count(*) AS entries, coalesce(sum(CASE WHEN speed = 'fast' THEN billing END), 0) AS billing, coalesce(sum(cost), 0) AS cost FROM f) SELECT entries, {_EXACT} FROM g")
+def summary_totals_exact(spark: SparkSession, sf: str) -> DataFrame:
+    """The same of `summary_totals`."""
+    return presented(reports.summary_totals(Q.facts(spark, sf), "source")).select("entries", "fast_billing_tokens", "cost_usd")
+
+
 @register(f"WITH {Q._PRICED} SELECT day_local AS day, CAST(sum(total) AS BIGINT) AS total_tokens, CAST(coalesce(sum(cost), 0) AS BIGINT) AS cost_nanos, count(cost) AS priced, CAST(round(least(100, sum(cache_read_input_tokens) * 100.0 / sum(input))) AS INTEGER) AS cache_rate FROM f WHERE occurred_at >= TIMESTAMP '1997-01-01' AND occurred_at < TIMESTAMP '1998-01-01' AND source IN ('codex', 'pi') GROUP BY 1")
 def daily_tooltips(spark: SparkSession, sf: str) -> DataFrame:
     year = calendar.preset("year", datetime(1997, 5, 5, tzinfo=UTC))

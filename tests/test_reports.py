@@ -61,6 +61,15 @@ def test_group_totals_beyond_63_bits_stay_whole(spark):
         assert metrics.presented(rows).first().fast_billing_tokens == "18446744073.709551615"
 
 
+def test_grand_totals_beyond_63_bits_stay_whole(spark):
+    """Of groups beyond 63 bits (by model) and of one group that holds all (by speed); of no rows it is zero."""
+    for by in ("model", "speed"):
+        total = metrics.presented(reports.summary_totals(beyond_63_bits(spark), by)).first()
+        assert (int(total.fast_billing_nanos_exact), int(total.cost_nanos_exact)) == (2**64 - 1, 2**63 + 3) and (total.fast_billing_nanos, total.cost_nanos) == (None, None)
+        assert (total.entries, total.fast_billing_tokens, total.cost_usd) == (4, "18446744073.709551615", "9223372036.854775811")
+    assert metrics.presented(reports.summary_totals(beyond_63_bits(spark).limit(0), "model")).first().cost_usd == "0"
+
+
 def test_calendar():
     zone = "Europe/Berlin"
     day = calendar.preset("today", NOW, zone)
