@@ -715,3 +715,14 @@ def test_bounds_hold():
     i, j = np.indices((50, 50)).reshape(2, -1)
     exact = neighbours.cosines(a, i, a, j).reshape(50, 50)
     assert (np.abs(exact - near) <= slack + 1e-6).all()
+
+
+def test_stored_tables_give_back_the_drivers_unused_memory(spark, monkeypatch):
+    said = common.release_driver(spark)
+    assert said.startswith("Trim native heap")  # of the JVM that the tests run on; another may say nothing
+    calls = []
+    monkeypatch.setattr(common, "release_driver", calls.append)
+    monkeypatch.setattr(common, "_released", [float("-inf")])
+    assert common.stored(spark.range(3)).count() == 3 and calls == [spark]
+    monkeypatch.setattr(common, "_released", [common.time.monotonic()])
+    assert common.stored(spark.range(3)).count() == 3 and len(calls) == 1  # not again within RELEASE_S
